@@ -1,0 +1,156 @@
+"""LM scoring by cross-entropy difference of two matched n-gram models.
+
+Both models are 4-gram models over one vocabulary of 48 symbols into which all UTF-8 bytes fall (letters without case, one
+digit, the usual punctuation apart, bytes above ASCII in ten classes), estimated alike: counts over all texts of the
+target and of the background, each order interpolated with the next lower one by the Witten-Bell weight, down to the
+uniform distribution. A document's score is the mean over its tokens of loss under the target minus loss under the
+background: the lower, the more it is like the target.
+
+As the vocabulary is fixed, a model has at most 48^4 (5.3 million) cells whatever the input: that bounds what is sent to the
+driver (20 bytes a cell) and what is broadcast (one table of 4 bytes a cell). Each task counts all its texts, the sums are
+taken by shuffle, and the target's and the background's cells come from every document.
+
+Null and empty texts have no tokens: n_tokens 0, the losses and the score null, kept false. Repeated rows count as often as
+they occur. Null ids are kept. An empty target leaves the uniform model.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bytes_np import PIECE, flat
+from .common import wider
+
+V, ORDER = 48, 4
+CELLS = V**ORDER
+
+
+def symbols() -> np.ndarray:
+    """The symbol of each byte."""
+    out = np.full(256, 37, np.int32)  # other ASCII
+    for b in range(128, 256):
+        out[b] = 38 + b % 10
+    for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
+        out[c] = out[c - 32] = i
+    for i, group in enumerate((b" \t", b"\n\r", b"0123456789", b".", b",", b"!?", b";:", b"'\"`", b"()[]{}", b"-_/", b"#*$%&|<>")):
+        out[list(group)] = 26 + i
+    return out
+
+
+SYMBOL = symbols()
+
+
+def _codes(buf: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Cells of the n-grams that end at bytes a to b; the text is taken to follow three line breaks."""
+    s = np.full(b - a + ORDER - 1, 27, np.int32)
+    have = min(a, ORDER - 1)
+    s[ORDER - 1 - have :] = SYMBOL[buf[a - have : b]]
+    n = b - a
+    out = s[:n].copy()
+    for i in range(1, ORDER):
+        out *= V
+        out += s[i : i + n]
+    return out
+
+
+def _pieces(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for i in range(len(off) - 1):
+        text = buf[off[i] : off[i + 1]]
+        for a in range(0, len(text), PIECE):
+            yield i, _codes(text, a, min(len(text), a + PIECE))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Non-zero cells of a task: all texts, and those of the target."""
+    total = {False: np.zeros(CELLS, np.int64), True: None}
+    for batch in batches:
+        buf, off = flat(batch.column(0))
+        wanted = batch.column(1).to_pylist()
+        gathered: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def put(kind: bool, gathered=gathered, size=size) -> None:
+            if size[kind]:
+                if total[kind] is None:
+                    total[kind] = np.zeros(CELLS, np.int64)
+                cells, n = np.unique(np.concatenate(gathered[kind]), return_counts=True)
+                total[kind][cells] += n
+                gathered[kind].clear()
+                size[kind] = 0
+
+        for i, codes in _pieces(buf, off):
+            for kind in (False, True) if wanted[i] else (False,):
+                gathered[kind].append(codes)
+                size[kind] += len(codes)
+                if size[kind] > 1 << 20:
+                    put(kind)
+        put(False)
+        put(True)
+    target = total[True] if total[True] is not None else np.zeros(1, np.int64)
+    cells = np.flatnonzero(total[False])
+    t = target[cells] if len(target) > 1 else np.zeros(len(cells), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[False][cells]), pa.array(t)], ["cell", "n", "t"])
+
+
+def log_probs(counts: np.ndarray) -> np.ndarray:
+    """log P(symbol | three before) for each cell, by Witten-Bell interpolation."""
+    lower = np.full(V, 1.0 / V)
+    for k in range(1, ORDER + 1):
+        c = counts.reshape(-1, V**k).sum(axis=0).reshape(-1, V) if k < ORDER else counts.reshape(-1, V)
+        total = c.sum(axis=1, keepdims=True)
+        kinds = np.maximum((c > 0).sum(axis=1, keepdims=True), 1)
+        below = lower.reshape(-1, V)
+        below = np.tile(below, (c.shape[0] // below.shape[0], 1))
+        lower = (c + kinds * below) / (total + kinds)
+    return np.log(lower).astype(np.float32).ravel()
+
+
+def train(docs: DataFrame, text: str = "text", is_target: str = "is_target") -> tuple[np.ndarray, np.ndarray]:
+    """(target, background) log probabilities; `is_target` marks rows of the target, the background is every row."""
+    per_task = docs.select(F.col(text).alias("text"), F.coalesce(F.col(is_target).cast("boolean"), F.lit(False)).alias("wanted")).mapInArrow(_count, "cell int, n long, t long")
+    cells = per_task.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    got = cells.toArrow()
+    at = got.column("cell").to_numpy()
+    out = []
+    for name in ("t", "n"):
+        counts = np.zeros(CELLS, np.float32)
+        counts[at] = got.column(name).to_numpy()
+        out.append(log_probs(counts))
+    return out[0], out[1]
+
+
+def score(docs: DataFrame, target: np.ndarray, background: np.ndarray, text: str = "text") -> DataFrame:
+    """Adds a struct _lm: n_tokens, target_loss, background_loss (nats per token) and lm_score, their difference."""
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(np.stack([target, background]))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = model.value
+        for batch in batches:
+            buf, off = flat(batch.column(names.index(text)))
+            sums = np.zeros((2, len(off) - 1))
+            for i, codes in _pieces(buf, off):
+                sums[:, i] += np.take(logs, codes, axis=1).sum(axis=1, dtype=np.float64)
+            n = np.diff(off)
+            mean = -sums / np.maximum(n, 1)
+            none = n == 0
+            cols = [pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, ["n_tokens", "target_loss", "background_loss", "lm_score"])], [*names, "_lm"])
+
+    return docs.mapInArrow(run, wider(docs.schema, "_lm struct<n_tokens: bigint, target_loss: double, background_loss: double, lm_score: double>"))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Scores all documents against those labelled of good quality as the target, all documents as the background."""
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    # Target rows are marked by a join on the id alone; only the id and the text move.
+    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
+    target, background = train(marked)
+    out = score(docs.select("doc_id", "text"), target, background)
+    return out.select("doc_id", "_lm.*", F.coalesce(F.col("_lm.lm_score") <= threshold, F.lit(False)).alias("kept"))
