@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lm_score, merkle, mixing, quality_crf, toxicity
+from . import bpe, bwt_dedup, line_dedup, lm_score, merkle, mixing, quality_crf, suffix_trees, toxicity
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,10 +29,20 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")])
 
 
+def op2_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup.remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_trees.remove_repeated_words(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -69,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_crf": op1_quality_crf, "op3_merkle": op3_merkle, "op5_line_windows": op5_line_windows, "op6_byte_bpe": op6_byte_bpe,
+    "op1_quality_crf": op1_quality_crf, "op2_bwt_intervals": op2_bwt_intervals, "op3_merkle": op3_merkle, "op4_suffix_trees": op4_suffix_trees, "op5_line_windows": op5_line_windows, "op6_byte_bpe": op6_byte_bpe,
     "op7_cross_entropy": op7_cross_entropy, "op8_classifier_chain": op8_classifier_chain, "op10_mixing": op10_mixing,
 }
 
