@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, line_dedup, lm_score, merkle, mixing, quality_crf, suffix_trees, toxicity
+from . import bpe, bwt_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, quality_crf, suffix_trees, toxicity
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,10 @@ def op8_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, chain).select("doc_id", *[F.col(f"_toxicity.p_{n}").alias(f"p_{n}") for n in chain.names], F.col("_toxicity.rejected").alias("toxic"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
     m = F.col("_mix")
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": op1_quality_crf, "op2_bwt_intervals": op2_bwt_intervals, "op3_merkle": op3_merkle, "op4_suffix_trees": op4_suffix_trees, "op5_line_windows": op5_line_windows, "op6_byte_bpe": op6_byte_bpe,
-    "op7_cross_entropy": op7_cross_entropy, "op8_classifier_chain": op8_classifier_chain, "op10_mixing": op10_mixing,
+    "op7_cross_entropy": op7_cross_entropy, "op8_classifier_chain": op8_classifier_chain, "op9_chosen_path": op9_chosen_path, "op10_mixing": op10_mixing,
 }
 
 OP5_SQL = """
