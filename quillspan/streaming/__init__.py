@@ -1 +1,21 @@
+"""Streaming forms of the stateless stages and of the trait sums."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def stream_trait_sums(evidence: DataFrame, time: str = "ts", delay: str = "1 hour", window: str | None = None) -> DataFrame:
+    """Running (person, trait, s_sum, c_sum, n_evidence) of a stream of evidence, per event-time window if one is given.
+
+    Late rows count until the watermark passes them; beta_of_sums() turns the sums into scores at any time.
+    """
+    keys = [F.window(time, window).alias("window")] if window else []
+    return evidence.withWatermark(time, delay).groupBy(*keys, "person", "trait").agg(F.sum(F.col("s") * F.col("c")).alias("s_sum"), F.sum("c").alias("c_sum"), F.count(F.lit(1)).alias("n_evidence"))
+
+
+def beta_of_sums(sums: DataFrame) -> DataFrame:
+    """Adds score and confidence under the Beta(1, 1) prior."""
+    a, b = 1 + F.col("s_sum"), 1 + F.greatest(F.lit(0.0), F.col("c_sum") - F.col("s_sum"))
+    return sums.withColumns({"score": a / (a + b), "confidence": F.greatest(F.lit(0.0), 1 - 4 * a * b / ((a + b) * (a + b) * (a + b + 1)))})
