@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_key, text_or_empty
+from .common import NULL_ID, cut, id_key, text_or_empty
 
 SECTION = 16
 #: Cuts after a newline, or after a sentence end and the space behind it; nothing of the text is lost.
@@ -74,13 +74,16 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     The text is dealt once, by document; of each text only the head that its neighbour's edit takes and the leaf
     hashes move on.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("_text"), id_key(doc_id).alias("_id"))
+    # Both sides of the join read this one exchange: the id comes back from its key, so that their columns are the same.
+    base = docs.select(text_or_empty(text).alias("_text"), id_key(doc_id).alias("_id"))
     base = base.withColumn("_th", F.xxhash64("_text"))
-    own = base.join(following(docs, doc_id, text), ["_id", "_th"])
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
-    own = with_tree(own.withColumn("n_chars", F.length("_text").cast("long")), "_text", "o_")
-    heads = own.where("_nth = 1").select(F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"), F.col("o_leaves").alias("n_leaves"), F.col("o_root").alias("n_root"))
-    both = own.join(heads, ["_id", "_th"])
+    moved = base.join(following(docs, doc_id, text), ["_id", "_th"])
+    # Repeated rows give their head once.
+    moved = moved.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).where("_nth = 1")
+    moved = with_tree(moved, "_text", "o_")
+    heads = moved.select(F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"), F.col("o_leaves").alias("n_leaves"), F.col("o_root").alias("n_root"))
+    both = with_tree(base.join(heads, ["_id", "_th"]).withColumn("n_chars", F.length("_text").cast("long")), "_text", "o_")
+    both = both.withColumn("doc_id", F.when(F.col("_id") != NULL_ID, F.col("_id")).cast(docs.schema[doc_id].dataType))
     both = both.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("_head")))
     both = with_tree(both, "_edited", "e_")
     like = lambda a, b, x, y: F.when(F.col(x) == F.col(y), F.lit(1.0)).otherwise(likeness(F.col(a), F.col(b)))
