@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +58,16 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
 
 
-def wider(schema: StructType, ddl: str) -> StructType:
-    """A new schema with more fields at its end."""
-    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct `row`, so that no name that an operator uses can clash with one of theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *new: str) -> DataFrame:
+    """The columns again, and those that the operator made; one that had such a name gives way to it."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in new], *new)
+
+
+def wider(df: DataFrame, ddl: str) -> StructType:
+    """The schema of packed rows of `df` and more fields."""
+    return StructType([StructField("row", df.schema, False), *StructType.fromDDL(ddl).fields])

@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .bytes_np import flat, groups, mix, runs_of, words
-from .common import NULL_ID, cut, id_key
-from .components import components
+from .common import NULL_ID, cut, id_key, packed, unpacked
 
 BINS = 64
 #: Agreement of embeddings from which two sets may be candidates: for small buckets, and around leaders (see _leaders).
@@ -364,6 +364,7 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """The rows of `docs` that stay: of each class the one with the smallest id (then hash); documents without words all stay, once."""
     found = near_classes(docs, text=text, doc_id=doc_id, **how)
     stay = found.where(F.col("_id") == F.col("class_id")).groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
-    keyed = docs.withColumns({"_id": id_key(doc_id), "_th": F.xxhash64(text)}).join(stay, ["_id", "_th"])
+    row = F.col("row")
+    keyed = packed(docs).withColumns({"_id": id_key(row.getField(doc_id)), "_th": F.xxhash64(row.getField(text))}).join(stay, ["_id", "_th"])
     once = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
-    return keyed.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    return unpacked(keyed.withColumn("_once", once).where("_once = 1"), docs.columns)

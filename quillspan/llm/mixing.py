@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, cut
+from .common import count_words, cut, packed, unpacked
 
 #: The targets are broadcast up to so many sources, else joined by shuffle (AQE splits a hot source).
 BROADCAST_SOURCES = 100_000
@@ -61,15 +61,19 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     right = targets.select(F.struct("source", "source_size", "target").alias("_t"))
     right = F.broadcast(right) if small else right
-    out = docs.withColumn("_size", size).join(right, F.col(source).eqNullSafe(F.col("_t.source")), "left")
+    row = F.col("row")
+    out = packed(docs).withColumn("_size", count_words(row.getField(text))).join(right, row.getField(source).eqNullSafe(F.col("_t.source")), "left")
     rate = F.when(F.col("_t.source_size") > 0, F.col("_t.target") / F.col("_t.source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("_rate", rate)
-    once_more = (coin(seed, F.col(doc_id)) < F.col("_rate") - F.floor("_rate")).cast("long")
+    once_more = (coin(seed, row.getField(doc_id)) < F.col("_rate") - F.floor("_rate")).cast("long")
     mix = F.struct(F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), F.col("_rate").alias("rate"), (F.floor("_rate") + once_more).alias("copies"))
-    return out.select(*docs.columns, mix.alias("_mix"))
+    return unpacked(out.withColumn("_mix", mix), docs.columns, "_mix")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as the plan says, with the columns of `docs`."""
-    plan = mixing_plan(docs, **how)
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(*docs.columns)
+    whole = packed(docs)
+    inner = whole.select("row", *[F.col("row").getField(how.get(c, c)).alias(c) for c in ("source", "text", "doc_id")])
+    plan = mixing_plan(inner, **{k: v for k, v in how.items() if k not in ("source", "text", "doc_id")})
+    copies = plan.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))))
+    return unpacked(copies, docs.columns)

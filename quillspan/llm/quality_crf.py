@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import flat, groups, inside_texts, mix, runs_of, words
-from .common import wider
+from .common import packed, unpacked, wider
 
 MAX_TRAIN = 4_000
 FEATURES = ("bias", "upper", "lower", "digit", "symbol", "mark", "bang", "other", "long_words", "few_words", "repeated", "duplicate", "end", "first", "last", "lone_marks")
@@ -217,12 +217,11 @@ def judge_quality(docs: DataFrame, crf: CRF, min_words: int = 50, min_content: f
     """Adds a struct _quality: the base figures, base_failed, the number of labelled lines, content words, content_share,
     kept, and the labels (array<tinyint>, one for each line with a word; 0 content, 1 boilerplate)."""
     model = docs.sparkSession.sparkContext.broadcast(crf)
-    names = docs.columns
     kind = pa.struct([*((f, pa.int64()) for f in _FIELDS), ("base_failed", pa.bool_()), ("n_lines", pa.int64()), ("content_words", pa.int64()), ("content_share", pa.float64()), ("kept", pa.bool_()), ("labels", pa.list_(pa.int8()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = flat(b.column(names.index(text)))
+            buf, off = flat(b.column(0).field(text))
             parts = []
             for i, j in groups(off):
                 g = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -236,7 +235,7 @@ def judge_quality(docs: DataFrame, crf: CRF, min_words: int = 50, min_content: f
                 cols = [pa.array(getattr(g, f).astype(np.int64)) for f in _FIELDS] + [pa.array(failed), pa.array(lines.astype(np.int64)), pa.array(content), pa.array(share), pa.array(~failed & (share >= min_content)), labels]
                 parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
             out = pa.concat_arrays(parts) if parts else pa.array([], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, out], [*names, "_quality"])
+            yield pa.RecordBatch.from_arrays([b.column(0), out], ["row", "_quality"])
 
     ddl = ", ".join([*(f"{f}: bigint" for f in _FIELDS), "base_failed: boolean, n_lines: bigint, content_words: bigint, content_share: double, kept: boolean, labels: array<tinyint>"])
-    return docs.mapInArrow(run, wider(docs.schema, f"_quality struct<{ddl}>"))
+    return unpacked(packed(docs).mapInArrow(run, wider(docs, f"_quality struct<{ddl}>")), docs.columns, "_quality")

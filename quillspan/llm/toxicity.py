@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import flat, groups, mix, words
-from .common import wider
+from .common import packed, unpacked, wider
 
 #: The chain's categories before the label, each with its seed words.
 CATEGORIES: Mapping[str, Sequence[str]] = {
@@ -146,15 +146,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """Adds a struct _toxicity: p_<category> for each category and rejected."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
-    names = docs.columns
     fields = [f"p_{n}" for n in chain.names]
     kind = pa.struct([*((f, pa.float64()) for f in fields), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = model.value.apply(b.column(names.index(text)))
+            p = model.value.apply(b.column(0).field(text))
             cols = [pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(fields))] + [pa.array(p[:, -1] >= threshold)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, fields=list(kind))], [*names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, fields=list(kind))], ["row", "_toxicity"])
 
     ddl = ", ".join([*(f"{f}: double" for f in fields), "rejected: boolean"])
-    return docs.mapInArrow(run, wider(docs.schema, f"_toxicity struct<{ddl}>"))
+    return unpacked(packed(docs).mapInArrow(run, wider(docs, f"_toxicity struct<{ddl}>")), docs.columns, "_toxicity")
