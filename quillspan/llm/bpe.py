@@ -18,18 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import wider
+from .common import packed, unpacked, wider
 
 #: Where white space is to mean Unicode's in the JVM.
 UNICODE = "(?U)"
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: Pieces that are gathered at a time.
-GROUP = 400_000
+GROUP = 200_000
 _CODECS: dict[str, Codec] = {}
 
 
@@ -58,32 +58,37 @@ class Codec:
             self.token[r] = t
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.ends = np.cumsum([len(t) for t in self.token])
-        self.known: dict[str, tuple[list[int], list[tuple[int, int]]]] = {}
+        self.forget()
 
-    def pieces(self, distinct: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """(ids, character offsets) of each piece."""
+    def forget(self) -> None:
+        """Of each known piece: its number, and by number its first id, how many there are, and the ids and offsets themselves."""
+        self.known: dict[str, int] = {}
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.spans = np.zeros((0, 2), np.int32)
+
+    def learn(self, distinct: list[str]) -> np.ndarray:
+        """The numbers of the pieces, after new ones have been encoded, each by itself."""
         new = [p for p in distinct if p not in self.known]
         if len(self.known) + len(new) > REMEMBER:
-            self.known, new = {}, distinct
-        for i in range(0, len(new), 10_000):
-            for p, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                self.known[p] = (e.ids, e.offsets)
-        return [self.known[p] for p in distinct]
+            self.forget()
+            new = distinct
+        if new:
+            e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+            self.begin = np.append(self.begin, np.cumsum(n) - n + len(self.ids))
+            self.count = np.append(self.count, n)
+            self.ids = np.append(self.ids, np.array(e.ids, np.int32))
+            self.spans = np.concatenate([self.spans, np.array(e.offsets, np.int32).reshape(-1, 2)])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
 
     def encode(self, pieces: pa.StringArray, offsets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Number of tokens of each piece, all ids, and their character offsets in the piece (n x 2)."""
         coded = pieces.dictionary_encode()
-        got = self.pieces(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
-        n = np.fromiter((len(x) for x, _ in got), np.int64, len(got))
-        begin = np.cumsum(n) - n
-        ids = np.fromiter((i for x, _ in got for i in x), np.int32, int(n.sum()))
-        many = n[at]
-        pick = np.repeat(begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        spans = None
-        if offsets:
-            spans = np.array([o for _, x in got for o in x], np.int64).reshape(-1, 2)[pick]
-        return many, ids[pick], spans
+        at = self.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        many = self.count[at]
+        pick = np.repeat(self.begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return many, self.ids[pick], self.spans[pick].astype(np.int64) if offsets else None
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The bytes of each text, given its number of ids."""
@@ -103,61 +108,74 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Adds `ids` (array<int>) and, if asked for, `offsets` (array<struct<start: int, end: int>>, in characters of the text)."""
-    names = docs.columns
-    parted = docs.withColumn("_pieces", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNICODE + pattern), F.lit(0)))
+def _decode_lists(c: Codec, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, some texts at a time."""
+    n = np.diff(lists.offsets.to_numpy().astype(np.int64))
+    found = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    data: list[bytes] = []
+    i = 0
+    while i < len(n):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + GROUP, "right")))
+        data += c.decode(found[done : ends[j - 1]], n[i:j])
+        i = j
+    return pa.array(data, pa.binary())
+
+
+def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """The columns of `docs` without the text, and `ids` (array<int>).
+
+    If asked for also `offsets` (array<struct<start: int, end: int>>, in characters of the text), and `decoded` (binary):
+    what the ids decode to, in the same pass, as decode_ids would find it.
+    """
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    made = ["ids", *["offsets"] * offsets, *["decoded"] * decoded]
+    pieces_of = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNICODE + pattern), F.lit(0))
+    parted = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), pieces_of.alias("pieces"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            lists = b.column(b.num_columns - 1)
+            lists = b.column(1)
             off = lists.offsets.to_numpy().astype(np.int64)
             off = off - off[0]
             pieces = lists.flatten()
-            counts, ids, spans = [], [], []
+            counts, ids, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 2), np.int64)]
+            lengths = [np.zeros(0, np.int64)]
             for i in range(0, len(pieces), GROUP):
                 part = pieces.slice(i, GROUP)
                 many, found, inside = c.encode(part, offsets)
                 counts.append(many)
                 ids.append(found)
                 if offsets:
-                    spans.append((inside, many, pa.compute.utf8_length(part).to_numpy()))
-            many = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+                    spans.append(inside)
+                    lengths.append(pc.utf8_length(part).to_numpy().astype(np.int64))
+            many = np.concatenate(counts)
             before = np.append(0, np.cumsum(many))[off].astype(np.int32)
-            out = [pa.ListArray.from_arrays(pa.array(before), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
+            out = [pa.ListArray.from_arrays(pa.array(before), pa.array(np.concatenate(ids)))]
             if offsets:
-                length = np.concatenate([x[2] for x in spans]) if spans else np.zeros(0, np.int64)
-                start = np.cumsum(length) - length
-                owner = np.repeat(np.arange(b.num_rows), np.diff(off))
-                start = start - np.append(start, 0)[off[:-1]][owner] if len(start) else start
-                all_spans = (np.concatenate([x[0] for x in spans]) if spans else np.zeros((0, 2), np.int64)) + np.repeat(start, many)[:, None]
-                flat = pa.StructArray.from_arrays([pa.array(all_spans[:, k].astype(np.int32)) for k in (0, 1)], fields=list(span))
+                # Characters before each piece, less those before its text.
+                start = np.append(0, np.cumsum(np.concatenate(lengths)))
+                start = start[:-1] - np.repeat(start[off[:-1]], np.diff(off))
+                whole = np.concatenate(spans) + np.repeat(start, many)[:, None]
+                flat = pa.StructArray.from_arrays([pa.array(whole[:, k].astype(np.int32)) for k in (0, 1)], fields=list(span))
                 out.append(pa.ListArray.from_arrays(pa.array(before), flat))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*names, "ids", *["offsets"] * offsets])
+            if decoded:
+                out.append(_decode_lists(c, out[0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], ["row", *made])
 
-    return parted.mapInArrow(run, wider(docs.schema, "ids array<int>" + ", offsets array<struct<start: int, end: int>>" * offsets))
+    ddl = "ids array<int>" + ", offsets array<struct<start: int, end: int>>" * offsets + ", decoded binary" * decoded
+    return unpacked(parted.mapInArrow(run, wider(rest, ddl)), rest.columns, *made)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds `decoded` (binary): the bytes of the ids' tokens. Cast it to string to read it."""
-    names = encoded.columns
-
+    """Adds `decoded` (binary): the bytes of the ids' tokens. Cast it to string to read it. Null ids decode to no bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            lists = b.column(names.index(ids))
-            n = np.diff(lists.offsets.to_numpy().astype(np.int64))
-            found = lists.flatten().to_numpy(zero_copy_only=False)
-            data: list[bytes] = []
-            ends = np.cumsum(n)
-            i = 0
-            while i < len(n):
-                done = ends[i - 1] if i else 0
-                j = max(i + 1, int(np.searchsorted(ends, done + GROUP * 2, "right")))
-                data += c.decode(found[done : ends[j - 1]], n[i:j])
-                i = j
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], [*names, "decoded"])
-
-    return encoded.mapInArrow(run, wider(encoded.schema, "decoded binary"))
+            lists = b.column(0).field(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), _decode_lists(c, lists)], ["row", "decoded"])
+
+    return unpacked(packed(encoded).mapInArrow(run, wider(encoded, "decoded binary")), encoded.columns, "decoded")

@@ -51,8 +51,7 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    encoded = bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    out = bpe.decode_ids(encoded, path)
+    out = bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), path, pattern, decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
