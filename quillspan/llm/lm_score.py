@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import PIECE, flat
-from .common import wider
+from .common import packed, unpacked, wider
 
 V, ORDER = 48, 4
 CELLS = V**ORDER
@@ -128,12 +128,10 @@ def score(docs: DataFrame, target: np.ndarray, background: np.ndarray, text: str
     """Adds a struct _lm: n_tokens, target_loss, background_loss (nats per token) and lm_score, their difference."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(np.stack([target, background]))
-    names = docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
         for batch in batches:
-            buf, off = flat(batch.column(names.index(text)))
+            buf, off = flat(batch.column(0).field(text))
             sums = np.zeros((2, len(off) - 1))
             for i, codes in _pieces(buf, off):
                 sums[:, i] += np.take(logs, codes, axis=1).sum(axis=1, dtype=np.float64)
@@ -141,16 +139,16 @@ def score(docs: DataFrame, target: np.ndarray, background: np.ndarray, text: str
             mean = -sums / np.maximum(n, 1)
             none = n == 0
             cols = [pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, ["n_tokens", "target_loss", "background_loss", "lm_score"])], [*names, "_lm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(cols, ["n_tokens", "target_loss", "background_loss", "lm_score"])], ["row", "_lm"])
 
-    return docs.mapInArrow(run, wider(docs.schema, "_lm struct<n_tokens: bigint, target_loss: double, background_loss: double, lm_score: double>"))
+    return unpacked(packed(docs).mapInArrow(run, wider(docs, "_lm struct<n_tokens: bigint, target_loss: double, background_loss: double, lm_score: double>")), docs.columns, "_lm")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Scores all documents against those labelled of good quality as the target, all documents as the background."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    # Target rows are marked by a join on the id alone; only the id and the text move.
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
+    # Target rows are marked by a join on the id. Labels grow with the corpus, so both sides are dealt by id at every size.
+    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
     target, background = train(marked)
     out = score(docs.select("doc_id", "text"), target, background)
     return out.select("doc_id", "_lm.*", F.coalesce(F.col("_lm.lm_score") <= threshold, F.lit(False)).alias("kept"))
