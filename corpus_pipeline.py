@@ -41,9 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and whether they decode to its text."""
     path, pattern = vocabulary()
-    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    whole = F.col("decoded").cast("string") == F.coalesce(F.col("text"), F.lit(""))
-    return bpe.decode_ids(encoded, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text", digest.alias("_digest")), path, pattern, decoded=True)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard_join", drop_near_duplicates), ("mixing", mix_sources), ("byte_level_bpe", tokenize)]
