@@ -117,7 +117,9 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, in
     bucket = (key % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    head = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    if not len(b):
+        return order, []
+    head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     return order, [(int(b[i]), int(i), int(j)) for i, j in zip(head, np.append(head[1:], len(b)), strict=True)]
 
 
