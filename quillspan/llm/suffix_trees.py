@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bytes_np import groups, runs_of, words
@@ -22,6 +23,8 @@ from .shared_windows import Sequences, remove_shared, spans_of
 
 LENGTH, GRAM = 13, 4
 GROUP = 1 << 16
+#: Words to which a subtree tells nodes apart, or the least repeat's if that is longer; deeper ones count as this deep. Bounds a group's table.
+DEEPEST = 32
 
 
 class Words(Sequences):
@@ -80,9 +83,9 @@ def prefix_groups(s: np.ndarray, at: np.ndarray, length: int, most: int) -> Iter
         yield np.concatenate(packed)
 
 
-def subtree(s: np.ndarray, left: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `at` (with `left` words each) in order, and how many words each has in common with the one before."""
-    width = int(left[at].max())
+def subtree(s: np.ndarray, left: np.ndarray, at: np.ndarray, deepest: int = DEEPEST) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `at` (with `left` words each) in order, and how many words, up to `deepest`, each has in common with the one before."""
+    width = min(int(left[at].max()), deepest)
     offsets = np.arange(width)
     inside = offsets[None, :] < left[at][:, None]
     table = np.where(inside, s[np.minimum(at[:, None] + offsets, len(s) - 1)], 0).astype(">u4")
@@ -112,15 +115,15 @@ def match_contexts(contexts: list[bytes], ids: np.ndarray, length: int = LENGTH,
     """(context, first window, windows) of windows that a context with a smaller id has too."""
     if len(contexts) < 2:
         return []
-    parts = [c.split(b" ") for c in contexts]
-    size = np.array([len(p) for p in parts], np.int64)
-    s = pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
+    size = np.array([c.count(b" ") + 1 for c in contexts], np.int64)
+    every = pc.split_pattern(pa.array([b" ".join(contexts)], pa.large_binary()), b" ").flatten()
+    s = every.dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
     end = np.cumsum(size)
     left = np.repeat(end, size) - np.arange(len(s))
     of = np.repeat(np.arange(len(size)), size)
     hits = []
     for group in prefix_groups(s, np.flatnonzero(left >= length), length, most):
-        leaves, common = subtree(s, left, group)
+        leaves, common = subtree(s, left, group, max(DEEPEST, length))
         own = ids[of[leaves]]
         top = -1
         for a, b, _ in reversed(deep_nodes(common, length)):  # parents first
