@@ -34,7 +34,7 @@ from .common import NULL_ID, cut, id_key, packed, unpacked
 
 BINS = 64
 #: Agreement of embeddings from which two sets may be candidates: for small buckets, and around leaders (see _leaders).
-LIKELY, LEADER, NEAR_LEADER = 0.55, 0.75, 0.35
+LIKELY, LEADER, NEAR_LEADER = 0.55, 0.45, 0.2
 #: Sets of a large bucket that are compared to leaders in one task.
 PART = 4096
 #: Bytes of sets in a block of the exact count.
@@ -53,15 +53,20 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def embed(s: np.ndarray) -> np.ndarray:
-    """One token for each bin of hashes: 16 bits of the least hash in it, 0 if none."""
-    out = np.zeros(BINS, np.uint16)
+    """One token for each bin of hashes: the least hash in it, 0 if none. The token holds the bin in its upper bits."""
+    out = np.zeros(BINS, np.uint64)
     if len(s):
         bins = (s >> np.uint64(58)).astype(np.int64)
         head = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-        out[bins[head]] = np.maximum((s[head] >> np.uint64(20)).astype(np.uint16), 1)
+        out[bins[head]] = np.maximum(s[head], np.uint64(1))
     return out
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of each token, 0 for none: enough to estimate a similarity."""
+    return np.where(tokens > 0, np.maximum((tokens >> np.uint64(20)).astype(np.uint16), 1), 0).astype(np.uint16)
+
+
 def runs_needed(recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold has shared a bucket of `depth` splits with the chance `recall` at least.
 
@@ -77,7 +82,7 @@ class Tokens:
 
     def __init__(self, tokens: np.ndarray, threshold: float):
         there = tokens > 0
-        self.scattered = mix((tokens.astype(np.uint64) + (np.arange(BINS, dtype=np.uint64) << np.uint64(16))) * _GOLD)
+        self.scattered = mix(tokens * _GOLD)
         share = 1 / (threshold * np.maximum(there.sum(axis=1), 1))
         self.low = np.where(there, np.minimum(share, 1.0)[:, None] * 2.0**64, -1.0)
 
@@ -88,8 +93,8 @@ class Tokens:
         return row, mix(at[row, column] + _GOLD)
 
 
-def _tokens(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, BINS)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -151,7 +156,7 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of small buckets: a forest of the pairs whose embeddings agree."""
     for t, head in whole_groups(batches, ["path"]):
-        sig, v = _tokens(t.column("sig").combine_chunks()), t.column("v").to_pylist()
+        sig, v = _matrix(t.column("sig").combine_chunks(), np.uint16), t.column("v").to_pylist()
         size = np.diff(np.append(head, t.num_rows))
         forest = Forest(t.num_rows)
         for n in np.unique(size).tolist():
@@ -171,30 +176,41 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of large buckets to leaders: (path, a, b), and each leader as (path, leader, leader).
+    """Links of large buckets to leaders: (part_of, a, b), and each leader as (part_of, leader, leader).
 
-    A set is led if its agreement with a leader is LEADER or more; it is linked to all leaders with NEAR_LEADER or more. By
-    the triangle inequality of the Jaccard distance a set within 0.2 of one that is within 0.25 of a leader is within
-    0.45 of that leader: a link between sets with different leaders joins the leaders' groups.
+    A set is led if its agreement with a leader is LEADER or more; it links all leaders with NEAR_LEADER or more. By the triangle
+    inequality of the Jaccard distance a set within 0.2 of one that is within 0.55 of a leader is within 0.75 of that
+    leader, so a link between sets with different leaders joins the leaders' groups. Of these links a forest is told: at
+    most one for each set and one for each two groups that it joins.
     """
-    current, sigs, names = None, np.zeros((0, BINS), np.uint16), []
+    current, sigs, names, forest = None, np.zeros((0, BINS), np.uint16), [], Forest(0)
     for b in batches:
         paths = b.column("part_of").to_pylist()
-        sig, v = _tokens(b.column("sig")), b.column("v").to_pylist()
+        sig, v = _matrix(b.column("sig"), np.uint16), b.column("v").to_pylist()
         out: tuple[list, list, list] = ([], [], [])
+
+        def tell(p: str, x: bytes, y: bytes, out=out) -> None:
+            for column, value in zip(out, (p, x, y), strict=True):
+                column.append(value)
+
         for i, p in enumerate(paths):
             if p != current:
-                current, sigs, names = p, np.zeros((0, BINS), np.uint16), []
+                current, sigs, names, forest = p, np.zeros((0, BINS), np.uint16), [], Forest(0)
             near = _agreement(sigs, sig[i][None]) if names else np.zeros(0)
+            joined: set[int] = set()
             for k in np.flatnonzero(near >= NEAR_LEADER).tolist():
-                out[0].append(p)
-                out[1].append(names[k])
-                out[2].append(v[i])
+                root = forest.find(k)
+                if root not in joined:
+                    tell(p, names[k], v[i])
+                    for other in joined:
+                        forest.join(root, other)
+                    joined = {forest.find(root)}
             if not len(near) or near.max() < LEADER:
                 sigs, names = np.vstack([sigs, sig[i][None]]), [*names, v[i]]
-                out[0].append(p)
-                out[1].append(v[i])
-                out[2].append(v[i])
+                forest.up.append(len(names) - 1)
+                if joined:
+                    forest.join(len(names) - 1, joined.pop())
+                tell(p, v[i], v[i])
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["part_of", "a", "b"])
 
 
@@ -247,12 +263,12 @@ def _exact(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def candidate_groups(sigs: DataFrame, threshold: float, recall: float, depth: int, small: int) -> DataFrame | None:
-    """(v, root) of loose groups, from (v, sig); None if there are no candidates."""
+    """(v, root) of loose groups, from (v, tokens, sig); None if there are no candidates."""
     runs = runs_needed(recall, depth)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, v = _tokens(b.column("sig")), b.column("v")
+            tokens, v = _matrix(b.column("tokens"), np.uint64), b.column("v")
             for i in range(0, b.num_rows, 1000):
                 part = Tokens(tokens[i : i + 1000], threshold)
                 for r in range(runs):
@@ -261,11 +277,12 @@ def candidate_groups(sigs: DataFrame, threshold: float, recall: float, depth: in
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, path = Tokens(_tokens(b.column("sig")), threshold).choose(b.column("path").to_numpy().view(np.uint64))
+            row, path = Tokens(_matrix(b.column("tokens"), np.uint64), threshold).choose(b.column("path").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(row)), pa.array(path.view(np.int64))], ["v", "path"])
 
     kind = "v binary, path long"
-    level = sigs.mapInArrow(first, kind)
+    level = sigs.select("v", "tokens").mapInArrow(first, kind)
+    deep, sigs = sigs.select("v", "tokens"), sigs.select("v", "sig")
     found = []
     for d in range(1, depth + 1):
         # Counts are summed before the shuffle; paths of one set only end here.
@@ -278,7 +295,7 @@ def candidate_groups(sigs: DataFrame, threshold: float, recall: float, depth: in
             big = None
             break
         if d < depth:
-            level = big.join(sigs, "v").select("v", "path", "sig").mapInArrow(further, kind)
+            level = big.join(deep, "v").select("v", "path", "tokens").mapInArrow(further, kind)
     big = big.withColumn("parts", F.ceil(F.col("n") / PART)) if big is not None else None
     while big is not None:
         # Parts of bounded size; the leaders of a bucket's parts meet in the next turn, in one part if parts no longer help.
@@ -305,20 +322,21 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, rec
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, sig, size = [], [], []
+            v, tokens, sig, size = [], [], [], []
             for s in shingle_sets(b.column("_text"), words_in):
                 v.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                sig.append(embed(s).tobytes())
+                tokens.append(embed(s))
+                sig.append(sketch(tokens[-1]).tobytes())
                 size.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(v, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], ["_id", "_th", "v", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(v, pa.binary()), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], ["_id", "_th", "v", "tokens", "sig", "size"])
 
-    signed = cut(base.mapInArrow(sign, "_id long, _th long, v binary, sig binary, size long"))
+    signed = cut(base.mapInArrow(sign, "_id long, _th long, v binary, tokens binary, sig binary, size long"))
     members = signed.select("_id", "_th", "v", "size").distinct()
     named = members.where("v is not null")
     # One row for each set, with the document that stands for it and how many different texts have it.
     texts = named.select("v", "_th").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("texts"))
     least = cut(named.groupBy("v").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.max("size").alias("size")).join(texts, "v").select("v", "rep._id", "rep._th", "size", "texts"))
-    sigs = cut(signed.join(least.select("v", "_id", "_th"), ["_id", "_th", "v"]).select("v", "sig").dropDuplicates(["v"]))
+    sigs = cut(signed.join(least.select("v", "_id", "_th"), ["_id", "_th", "v"]).select("v", "tokens", "sig").dropDuplicates(["v"]))
     loose = candidate_groups(sigs, threshold, recall, depth, small)
     alone = members.where("v is null").select("_id", "_th", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     if loose is None:
