@@ -32,6 +32,8 @@ from .bytes_np import PIECE, flat
 from .common import id_key, text_bytes, text_or_empty
 
 BLOCK = 8_000_000
+#: Bits of an anchor's hash that are sent. Fewer only propose more: every found window is compared whole.
+SENT = np.uint64((1 << 48) - 1)
 #: Windows that a context has at most; longer runs (as of one letter) are cut.
 LONGEST = 1024
 
@@ -85,7 +87,7 @@ def runs(seq: Sequences, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
         # A run ends where the next begins or at the first invalid window.
         ends = np.flatnonzero(~valid & np.append(previous[0], valid[:-1]))
         firsts.append(at + a)
-        hashes.append(m[at])
+        hashes.append(m[at] & SENT)
         stops.append(ends + a)
         previous = (bool(valid[-1]), int(m[-1]))
     if not firsts:
@@ -123,8 +125,22 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, in
     return order, [(int(b[i]), int(i), int(j)) for i, j in zip(head, np.append(head[1:], len(b)), strict=True)]
 
 
-def _all(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+def pack(values: np.ndarray, size: int | None = None) -> bytes:
+    """The values' lowest `size` bytes, all first bytes before all second ones: shuffle compression finds the runs in them."""
+    cells = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return cells[:, :size].T.tobytes()
+
+
+def unpack(data: bytes, kind: type, size: int | None = None) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    size = size or width
+    cells = np.zeros((len(data) // size, width), np.uint8)
+    cells[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return cells.view(kind).ravel()
+
+
+def _all(table: pa.Table, name: str, kind: type, size: int | None = None) -> list[np.ndarray]:
+    return [unpack(x, kind, size) for x in table.column(name).to_pylist()]
 
 
 def remove_shared(
@@ -153,10 +169,10 @@ def remove_shared(
         h, multi = _twice(h, ids[of])
         order, parts = _split(h >> np.uint64(8), blocks)
         h, multi = h[order], multi[order]
-        return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([key[0].as_py()] * len(parts), pa.int32()), "h": pa.array([h[i:j].tobytes() for _, i, j in parts], pa.binary()), "multi": pa.array([np.packbits(multi[i:j]).tobytes() for _, i, j in parts], pa.binary())})
+        return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([key[0].as_py()] * len(parts), pa.int32()), "h": pa.array([pack(h[i:j], 6) for _, i, j in parts], pa.binary()), "multi": pa.array([np.packbits(multi[i:j]).tobytes() for _, i, j in parts], pa.binary())})
 
     def shared_anchors(table: pa.Table) -> pa.Table:
-        hs = _all(table, "h", np.uint64)
+        hs = _all(table, "h", np.uint64, 6)
         n = [len(x) for x in hs]
         multi = np.concatenate([np.unpackbits(x, count=m).astype(bool) for x, m in zip(_all(table, "multi", np.uint8), n, strict=True)])
         h = np.concatenate(hs)
@@ -166,14 +182,14 @@ def remove_shared(
         found[order[1:][same]] = True
         found[order[:-1][same]] = True
         ends = np.cumsum(n)
-        return pa.table({"_block": table.column("block"), "h": pa.array([h[i - m : i][found[i - m : i]].tobytes() for i, m in zip(ends, n, strict=True)], pa.binary())})
+        return pa.table({"_block": table.column("block"), "h": pa.array([pack(h[i - m : i][found[i - m : i]], 6) for i, m in zip(ends, n, strict=True)], pa.binary())})
 
     def send_contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "at": [], "sizes": [], "data": []}
         if left.num_rows and right.num_rows:
             _, seq, ids = load(left)
             first, n, h, of = runs(seq, length, k)
-            wanted = np.sort(np.concatenate(_all(right, "h", np.uint64)))
+            wanted = np.sort(np.concatenate(_all(right, "h", np.uint64, 6)))
             pick = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.zeros(0, np.int64)
             # Rows are in order of ids, so the first of equal contexts is the one with the smallest id.
             seen: set[bytes] = set()
@@ -191,9 +207,9 @@ def remove_shared(
                 own = kept[part]
                 out["bucket"].append(bucket)
                 out["block"].append(key[0].as_py())
-                out["ids"].append(ids[of[own]].astype(np.int64).tobytes())
-                out["at"].append(first[own].tobytes())
-                out["sizes"].append(np.array([len(data[x]) for x in part], np.int32).tobytes() + n[own].astype(np.int32).tobytes())
+                out["ids"].append(pack(ids[of[own]].astype(np.int64)))
+                out["at"].append(pack(first[own]))
+                out["sizes"].append(pack(np.append([len(data[x]) for x in part], n[own]).astype(np.int32)))
                 out["data"].append(b"".join([data[x] for x in part]))
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
 
@@ -203,7 +219,7 @@ def remove_shared(
         seen: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for block, ids, at, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "at", "sizes", "data")), strict=True):
-                ids, at, sizes = np.frombuffer(ids, np.int64), np.frombuffer(at, np.int64), np.frombuffer(sizes, np.int32)
+                ids, at, sizes = unpack(ids, np.int64), unpack(at, np.int64), unpack(sizes, np.int32)
                 size, n = sizes[: len(ids)], sizes[len(ids) :]
                 numbers = np.empty(len(ids), np.int64)
                 end = 0
@@ -230,7 +246,7 @@ def remove_shared(
             start = np.concatenate([at[later], np.repeat(at[mine], many) + found[rows, 1]])
             wide = np.concatenate([n[later].astype(np.int64), found[rows, 2]])
             if len(start):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([start.tobytes()], pa.binary()), pa.array([wide.astype(np.int32).tobytes()], pa.binary())], ["_block", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(start)], pa.binary()), pa.array([pack(wide.astype(np.int32))], pa.binary())], ["_block", "at", "n"])
 
     names = [f.split()[0] for f in finished.split(";")]
 
