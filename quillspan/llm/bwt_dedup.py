@@ -106,7 +106,8 @@ def bounds_below(s: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
             by = np.argsort(to)
             to, owner = to[by], owner[by]
         # An interval ends where the symbol, the interval it came from or the run of places ends.
-        ends = np.append((owner[1:] != owner[:-1]) | (first[to[1:]] != first[to[:-1]]) | (to[1:] != to[:-1] + 1), True)
+        begins = first[to]
+        ends = np.append((owner[1:] != owner[:-1]) | (begins[1:] != begins[:-1]) | (to[1:] != to[:-1] + 1), True)
         number = np.append(0, np.cumsum(ends[:-1], dtype=np.int32))
         bound = to[ends].astype(np.int64) + 1
         fresh = ~known[bound]
