@@ -55,9 +55,28 @@ def word_ids(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for _, h, before in hashed_words(texts) for a, b in zip(before[:-1], before[1:], strict=True)]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: how many texts, and how many toxic ones, have each feature."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([x.tobytes() for x in word_ids(b.column("text"))], pa.binary())], ["toxic", "ids"])
+        ids = word_ids(b.column("text"))
+        if ids:
+            toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False).astype(float), [len(x) for x in ids])
+            kinds, where = np.unique(np.concatenate(ids), return_inverse=True)
+            cols = [kinds.view(np.int64), np.bincount(where, minlength=len(kinds)), np.bincount(where, toxic, minlength=len(kinds)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["feature", "n", "pos"])
+
+
+def seed_features(categories: Mapping[str, Sequence[str]]) -> list[np.ndarray]:
+    """The features of each category's seed words."""
+    joined = [" ".join(c).encode() for c in categories.values()]
+    return [np.unique(words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[2]) for t in joined]
+
+
+def telling(pos: np.ndarray, n: np.ndarray, toxic: float, total: float) -> np.ndarray:
+    """Two-proportion z: how far more or less often features occur in toxic texts than in others."""
+    p1, p0 = (pos + 0.5) / (toxic + 1), (n - pos + 0.5) / (total - toxic + 1)
+    pool = (n + 1) / (total + 2)
+    return np.abs(p1 - p0) / np.sqrt(pool * (1 - pool) * (1 / toxic + 1 / (total - toxic)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -105,22 +124,19 @@ class Chain:
         return x[:, len(self.vocabulary) :]
 
 
-def fit_chain(ids: list[np.ndarray], toxic: np.ndarray, categories: Mapping[str, Sequence[str]] = CATEGORIES, n_features: int = 256, folds: int = 5) -> Chain:
+def fit_chain(ids: list[np.ndarray], toxic: np.ndarray, categories: Mapping[str, Sequence[str]] = CATEGORIES, n_features: int = 256, folds: int = 5, vocabulary: np.ndarray | None = None) -> Chain:
+    """Fits the models; the features are `vocabulary`, or else the `n_features` that tell most of these texts."""
     names = [*categories, "toxic"]
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return Chain(names, np.zeros(0, np.uint64), [np.array([*[0.0] * k, -30.0]) for k in range(len(names))])
-    every = np.concatenate(ids)
-    inside = np.repeat(y, [len(x) for x in ids])
-    kinds, where = np.unique(every, return_inverse=True)
-    pos, n = np.bincount(where, inside), np.bincount(where)
-    # Two-proportion z: which words occur in toxic texts far more or less often than in others.
-    p1, p0 = (pos + 0.5) / (y.sum() + 1), (n - pos + 0.5) / (len(y) - y.sum() + 1)
-    pool = (n + 1) / (len(y) + 2)
-    z = np.abs(p1 - p0) / np.sqrt(pool * (1 - pool) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    chain = Chain(names, np.sort(kinds[np.argsort(-z, kind="stable")[:n_features]]), [])
+    if vocabulary is None:
+        kinds, where = np.unique(np.concatenate(ids), return_inverse=True)
+        z = telling(np.bincount(where, np.repeat(y, [len(x) for x in ids])), np.bincount(where), y.sum(), len(y))
+        vocabulary = kinds[np.argsort(-z, kind="stable")[:n_features]]
+    chain = Chain(names, np.sort(vocabulary), [])
     x = chain.features(ids)
-    seeds = [np.unique(words(np.frombuffer(" ".join(c).encode(), np.uint8), np.array([0, len(" ".join(c).encode())]))[2]) for c in categories.values()]
+    seeds = seed_features(categories)
     labels = [y * np.array([np.isin(s, h, assume_unique=True).any() for h in ids]) for s in seeds] + [y]
     fold = np.arange(len(y)) % folds
     for label in labels:
@@ -133,14 +149,33 @@ def fit_chain(ids: list[np.ndarray], toxic: np.ndarray, categories: Mapping[str,
     return chain
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **how) -> Chain:
-    """Fits the chain on a bounded sample: at most `max_train` ids are broadcast and their distinct words' hashes collected."""
+def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, categories: Mapping[str, Sequence[str]] = CATEGORIES, n_features: int = 256, **how) -> Chain:
+    """Fits the chain on a bounded sample: at most `max_train` ids are broadcast.
+
+    Features are counted and ranked on the executors; of each text the driver gets only those of the `n_features` chosen and
+    of the seed words that it has.
+    """
     sample = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("_l"), "_l").limit(max_train)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_l")).select("doc_id", "toxic", "text")
-    got = texts.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_gather, "toxic int, ids binary").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_l")).select(F.col("toxic").cast("int").alias("toxic"), "text")
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos")).first()
+    if not size["n"] or size["pos"] in (0, size["n"]):
+        return fit_chain([], np.zeros(0), categories)
+    total, pos = float(size["n"]), float(size["pos"])
+    counts = texts.mapInArrow(_count, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    p1, p0, pool = (F.col("pos") + 0.5) / (pos + 1), (F.col("n") - F.col("pos") + 0.5) / (total - pos + 1), (F.col("n") + 1) / (total + 2)
+    z = F.abs(p1 - p0) / F.sqrt(pool * (1 - pool) * (1 / pos + 1 / (total - pos)))
+    chosen = counts.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(n_features).toArrow()
+    vocabulary = np.sort(chosen.column("feature").to_numpy().astype(np.int64).view(np.uint64))
+    wanted = np.unique(np.concatenate([vocabulary, *seed_features(categories)]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([np.intersect1d(x, wanted, assume_unique=True).tobytes() for x in word_ids(b.column("text"))], pa.binary())], ["toxic", "ids"])
+
+    got = texts.mapInArrow(gather, "toxic int, ids binary").toArrow()
     pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("ids").to_pylist(), strict=True), key=lambda p: (p[1], p[0]))
-    return fit_chain([np.frombuffer(b, np.uint64) for _, b in pairs], np.array([t for t, _ in pairs]), **how)
+    return fit_chain([np.frombuffer(b, np.uint64) for _, b in pairs], np.array([t for t, _ in pairs]), categories, n_features, vocabulary=vocabulary, **how)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.3, text: str = "text") -> DataFrame:
