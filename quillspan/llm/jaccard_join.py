@@ -317,7 +317,9 @@ def candidate_groups(sigs: DataFrame, threshold: float, recall: float, depth: in
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, recall: float = 0.9999, depth: int = 3, small: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_id, _th, class_id, n_links), a row for each distinct pair of id and text; _th is xxhash64 of the text."""
+    """(_id, _th, root, class_id, n_links), a row for each distinct pair of id and text; _th is xxhash64 of the text.
+
+    root names the class, whatever ids its members have; null for a text without words, a class of its own."""
     base = docs.select(id_key(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, rec
     least = cut(named.groupBy("v").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.max("size").alias("size")).join(texts, "v").select("v", "rep._id", "rep._th", "size", "texts"))
     sigs = cut(signed.join(least.select("v", "_id", "_th"), ["_id", "_th", "v"]).select("v", "tokens", "sig").dropDuplicates(["v"]))
     loose = candidate_groups(sigs, threshold, recall, depth, small)
-    alone = members.where("v is null").select("_id", "_th", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = members.where("v is null").select("_id", "_th", F.col("v").alias("root"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     if loose is None:
         linked = None
     else:
@@ -366,7 +368,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, rec
     else:
         rows = rows.withColumns({"root": F.col("v"), "links": F.lit(0).cast("long")})
     smallest = rows.groupBy("root").agg(F.min("_id").alias("class_id"))
-    rows = rows.join(smallest, "root").select("_id", "_th", "class_id", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
+    rows = rows.join(smallest, "root").select("_id", "_th", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
     return cut(rows.union(alone))
 
 
@@ -381,7 +383,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of `docs` that stay: of each class the one with the smallest id (then hash); documents without words all stay, once."""
     found = near_classes(docs, text=text, doc_id=doc_id, **how)
-    stay = found.where(F.col("_id") == F.col("class_id")).groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
+    me = F.struct("_id", "_th")
+    # Ids don't tell classes apart: null ids count as one, and different texts may share an id.
+    stay = found.groupBy("root", F.when(F.col("root").isNull(), me).alias("alone")).agg(F.min(me).alias("k")).select("k._id", "k._th")
     row = F.col("row")
     keyed = packed(docs).withColumns({"_id": id_key(row.getField(doc_id)), "_th": F.xxhash64(row.getField(text))}).join(stay, ["_id", "_th"])
     once = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))

@@ -378,6 +378,24 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, how):
     assert jaccard_join.near_duplicates(empty).count() == jaccard_join.keep_one_of_each(empty).count() == 0
 
 
+def test_keep_one_of_each_by_component(spark):
+    """Many null ids, and equal ids with different texts: unlike texts stay, and of each class the one with the smallest id."""
+    a, b, c = prose(80, 21), prose(80, 22), prose(80, 23)
+    unlike = [prose(60, 30 + k) for k in range(6)]
+    rows = [(None, t) for t in unlike[:3]] + [(7, t) for t in unlike[3:]] + [(None, a), (4, a), (5, a + " end"), (8, b), (8, b + " end"), (2, c), (7, c), (None, None), (None, ""), (9, None), (9, " \n"), (None, unlike[0])]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    th = {r.text: r.th for r in t.select("text", F.xxhash64("text").alias("th")).collect()}
+    words_of = lambda x: WORD.findall(x or "")
+    grams = lambda x: {tuple(words_of(x)[i : i + 5]) for i in range(len(words_of(x)) - 4)}
+    classes: list[list] = []
+    for i, x in dict.fromkeys(rows):
+        like = [k for k in classes if words_of(x) and words_of(k[0][1]) and len(grams(x) & grams(k[0][1])) >= 0.8 * len(grams(x) | grams(k[0][1]))]
+        like[0].append((i, x)) if like else classes.append([(i, x)])
+    want = [min(k, key=lambda r: (key(r[0]), th[r[1]])) for k in classes]
+    assert len(want) == 6 + 3 + 4
+    assert Counter((r.doc_id, r.text) for r in jaccard_join.keep_one_of_each(t).collect()) == Counter(want)
+
+
 def test_runs():
     assert [jaccard_join.runs_needed(0.9, 1), jaccard_join.runs_needed(0.9999, 3)] == [3, 20]
 
