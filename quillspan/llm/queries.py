@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, quality_crf, suffix_trees, toxicity
+from . import bpe, bwt_dedup, jaccard_join, line_dedup, lm_words, merkle, mixing, quality_crf, suffix_trees, toxicity
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -56,7 +56,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.cross_entropy_difference(documents(spark, sf_dir), _labels(spark, sf_dir))
+    return lm_words.cross_entropy_difference(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op8_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, bwt_dedup, jaccard_join, line_dedup, lm_score, merkle, mixing, quality_crf, shared_windows, suffix_trees, toxicity
+from quillspan.llm import bpe, bwt_dedup, jaccard_join, line_dedup, lm_score, lm_words, merkle, mixing, quality_crf, shared_windows, suffix_trees, toxicity
 from quillspan.llm.bytes_np import flat, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,6 +311,54 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.cross_entropy_difference(empty, labels).count() == 0
 
 
+def test_lm_words(spark, docs, empty, monkeypatch):
+    """Against dictionaries of all words: the text's own counts are left out, and the tables grow with the words."""
+    monkeypatch.setattr(lm_words, "BLOCK", 3000)
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (21, 1, 0), (24, 1, 0), (None, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    good, counts = {3, 21, 24}, {True: Counter(), False: Counter()}
+
+    def grams(t):
+        s = ["<", "<", *WORD.findall(t or ""), ">"]
+        return Counter(tuple(s[i - k : i + 1]) for i in range(2, len(s)) for k in range(3)) + Counter({("<",): 1, ("<", "<"): 1}) if len(s) > 3 else Counter()
+
+    for i, t in corpus():
+        counts[False] += grams(t)
+        if i in good:
+            counts[True] += grams(t)
+    kinds = sum(len(g) == 1 and g != ("<",) for g in counts[False])
+    want = Counter()
+    for i, t in corpus():
+        s = ["<", "<", *WORD.findall(t or ""), ">"]
+        loss = []
+        for target in (True, False):
+            c = counts[target] - (grams(t) if i in good or not target else Counter())
+            total = sum(n for g, n in c.items() if len(g) == 1 and g != ("<",))
+            lost = 0
+            for x in range(2, len(s)):
+                p = (c[s[x],] + 1) / (total + kinds)
+                for k in (1, 2):
+                    p = (c[tuple(s[x - k : x + 1])] + 4 * p) / (c[tuple(s[x - k : x])] + 4)
+                lost -= np.log(p)
+            loss.append(round(lost / (len(s) - 2), 6) if len(s) > 3 else None)
+        want[i, len(s) - 3, *loss] += 1
+    out = lm_words.cross_entropy_difference(docs, labels).collect()
+    some = lambda x: None if x is None else round(x, 6)
+    assert Counter((r.doc_id, r.n_tokens, some(r.target_loss), some(r.background_loss)) for r in out) == want
+    assert all(r.kept == (r.lm_score is not None and r.lm_score <= 0) for r in out)
+    assert lm_words.cross_entropy_difference(empty, labels).count() == 0
+
+
+def test_lm_query_tells_words_apart(spark, tmp_path):
+    """Texts of letters that fold together under a byte's remainder are not alike."""
+    rows = [(k, " ".join(chr(0x400 + (k % 2) * 10 + j) for j in range(9)) + f" {k}") for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1 - k % 2) for k in range(4)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    from quillspan.llm import queries
+
+    got = {r.doc_id: r.lm_score for r in queries.op7_cross_entropy(spark, str(tmp_path)).collect()}
+    assert max(got[k] for k in range(0, 12, 2)) + 1 < min(got[k] for k in range(1, 12, 2))
+
+
 def test_toxicity(spark, docs, empty):
     d = "/root/testdata/sf0.1"
     t, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
