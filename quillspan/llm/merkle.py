@@ -1,8 +1,10 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs: lines, and within a line the pieces after each sentence end, so that a text of one line has
-more than one leaf. SECTION leaves make a section; the root hashes the sections. Equal roots mean equal texts; where
-roots differ, differing sections and within them differing leaves locate the edit. DataFrame functions only.
+Paragraphs are lines, and within a line the pieces after each sentence end. Leaves are paragraphs of LONG characters at most, and
+of longer ones the runs of tokens up to each whose hash is less than those of the NEAR tokens before and after it, or to the end
+of a run of equal ones: such cuts follow the content, so what an edit leaves alone keeps its leaves. A paragraph hashes its leaves, a section SECTION paragraphs, the root the sections. Equal roots
+mean equal texts; where roots differ, differing sections, paragraphs and leaves locate the edit. DataFrame functions only.
+A long run without such a token stays one leaf: one word without end, or few words over and over in turn.
 
 Null texts count as empty: one empty leaf. Rows with equal id and text are one document in the order of ids, and each
 gets the result. Null ids come last in the descending order; equal ids with other texts follow by the text's hash.
@@ -10,6 +12,8 @@ gets the result. Null ids come last in the descending order; equal ids with othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +21,44 @@ from .common import NULL_ID, cut, id_key, text_or_empty
 
 SECTION = 16
 #: Cuts after a newline, or after a sentence end and the space behind it; nothing of the text is lost.
-CUT = r"(?<=\n)|(?<=[.!?] )"
+CUT = r"(?<=\n)|(?<=[.!?] )|(?<=[。！？｡।॥۔።])"
+#: Tokens end after anything but letters, marks and digits, and after each letter of scripts that put no space between words.
+TOKEN = r"(?<=[^\p{L}\p{M}\p{N}])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+LONG, NEAR = 200, 4
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shorter(piece: Column) -> Column:
+    """The leaves of a long paragraph."""
+
+    def leaves(tokens: Column) -> Column:
+        last = F.size(tokens) - 1
+        least = lambda part: F.coalesce(F.array_min(part), F.lit(2**63 - 1))
+        near = lambda h, i: F.least(least(F.slice(h, F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)))), least(F.slice(h, i + 2, F.lit(NEAR))))
+        run_ends = lambda h, i: (i > 0) & (F.get(h, i) == F.get(h, i - 1)) & (F.get(h, i) != F.get(h, i + 1))
+        ends = _let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(h, i) < near(h, i)) | run_ends(h, i)))
+        before = lambda e, k: F.when(k == 0, F.lit(-1)).otherwise(F.get(e, k - 1))
+        return _let(ends, lambda e: F.transform(e, lambda x, k: F.array_join(F.slice(tokens, before(e, k) + 2, x - before(e, k)), "")))
+
+    return _let(F.split(piece, TOKEN, -1), leaves)
 
 
 def with_tree(df: DataFrame, text: str, p: str) -> DataFrame:
-    """Adds {p}leaves (array<long>), {p}sections (array<string>) and {p}root (string)."""
+    """Adds {p}leaves and {p}paragraphs (array<long>), {p}sections (array<string>) and {p}root (string)."""
     df = df.withColumn(f"{p}pieces", F.split(text, CUT, -1))
-    df = df.withColumn(f"{p}leaves", F.transform(f"{p}pieces", lambda x: F.xxhash64(x)))
-    digests = F.transform(f"{p}pieces", lambda x: F.md5(x))
+    df = df.withColumn(f"{p}parts", F.transform(f"{p}pieces", lambda x: F.when(F.length(x) > LONG, shorter(x)).otherwise(F.array(x))))
+    df = df.withColumn(f"{p}leaves", F.transform(F.flatten(f"{p}parts"), lambda x: F.xxhash64(x)))
+    df = df.withColumn(f"{p}paragraphs", F.transform(f"{p}pieces", lambda x: F.xxhash64(x)))
+    digests = F.transform(f"{p}parts", lambda a: F.when(F.size(a) == 1, F.md5(F.get(a, F.lit(0)))).otherwise(F.md5(F.array_join(F.transform(a, lambda x: F.md5(x)), ""))))
     df = df.withColumn(f"{p}d", digests)
     ends = F.sequence(F.lit(0), F.floor((F.size(f"{p}d") - 1) / SECTION).cast("int"))
     df = df.withColumn(f"{p}sections", F.transform(ends, lambda i: F.md5(F.array_join(F.slice(f"{p}d", i * SECTION + 1, F.lit(SECTION)), ""))))
     df = df.withColumn(f"{p}root", F.sha2(F.concat_ws(":", F.size(f"{p}d").cast("string"), F.array_join(f"{p}sections", "")), 256))
-    return df.drop(f"{p}pieces", f"{p}d")
+    return df.drop(f"{p}pieces", f"{p}parts", f"{p}d")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -38,12 +67,20 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
 
 
-def first_edit(sections_a: Column, leaves_a: Column, sections_b: Column, leaves_b: Column) -> Column:
-    """The index of the first leaf in which two trees differ, found below the first differing section; null if none does."""
+def differs(x: Column, y: Column) -> Callable[[Column], Column]:
+    return lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))
+
+
+def first_leaf(a: Column, b: Column) -> Column:
+    """The index of the first leaf in which two trees differ; null if none does."""
+    return F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), differs(a, b)), F.lit(0))
+
+
+def first_edit(sections_a: Column, paragraphs_a: Column, sections_b: Column, paragraphs_b: Column) -> Column:
+    """The index of the first paragraph in which two trees differ, found below the first differing section; null if none does."""
     n = F.greatest(F.size(sections_a), F.size(sections_b))
-    differs = lambda x, y: lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))
     section = F.get(F.filter(F.sequence(F.lit(0), n - 1), differs(sections_a, sections_b)), F.lit(0))
-    return F.get(F.filter(F.sequence(section * SECTION, section * SECTION + SECTION - 1), differs(leaves_a, leaves_b)), F.lit(0))
+    return F.get(F.filter(F.sequence(section * SECTION, section * SECTION + SECTION - 1), differs(paragraphs_a, paragraphs_b)), F.lit(0))
 
 
 def following(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -90,6 +127,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("o_root").alias("fingerprint"), F.col("e_root").alias("edited_fingerprint"),
         like("o_leaves", "e_leaves", "o_root", "e_root").alias("near_edited"), like("o_leaves", "n_leaves", "o_root", "n_root").alias("near_next"),
-        F.size("o_leaves").cast("long").alias("n_paragraphs"), F.size("o_sections").cast("long").alias("n_sections"),
-        first_edit(F.col("o_sections"), F.col("o_leaves"), F.col("e_sections"), F.col("e_leaves")).alias("edit_paragraph"),
+        F.size("o_paragraphs").cast("long").alias("n_paragraphs"), F.size("o_sections").cast("long").alias("n_sections"),
+        first_edit(F.col("o_sections"), F.col("o_paragraphs"), F.col("e_sections"), F.col("e_paragraphs")).alias("edit_paragraph"),
+        F.size("o_leaves").cast("long").alias("n_leaves"), first_leaf(F.col("o_leaves"), F.col("e_leaves")).alias("edit_leaf"),
     )

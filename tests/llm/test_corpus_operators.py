@@ -224,6 +224,24 @@ def test_merkle(spark, docs, empty):
     assert merkle.compare_edited(empty).count() == 0
 
 
+def test_merkle_long_lines(spark):
+    """Long texts of one line have short leaves, in scripts without spaces too, and edits are found within the line."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (300, 2000)] + [",".join(word() for _ in range(900)), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4000)), "".join(chr(0x4E00 + r.randrange(3000)) + "。" * (k % 9 == 8) for k in range(150)), " ".join(chr(0x430 + r.randrange(32)) * r.randint(1, 4) + chr(0x430 + r.randrange(32)) for _ in range(600))]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x.doc_id: x for x in merkle.compare_edited(t).collect()}
+    for i, text in enumerate(texts):
+        x = out[i]
+        assert 0.4 < x.near_edited < 0.95 and x.near_next < 0.1
+        assert x.n_leaves > len(text) / merkle.LONG and 0.45 < x.edit_leaf / x.n_leaves < 0.85
+    runs = spark.createDataFrame([(k, "".join(f"{w} " * 60 for w in ws)) for k, ws in enumerate(("uno dos tres cuatro cinco".split(), "six seven eight".split()))], "doc_id long, text string")
+    assert all(x.near_edited > 0.3 and x.edit_leaf > 0 for x in merkle.compare_edited(runs).collect())
+    tree = merkle.with_tree(t.withColumn("pieces", merkle.shorter(F.col("text"))), "text", "o_").collect()
+    assert all("".join(x.pieces) == x.text for x in tree)
+    assert max(len(p) for x in tree for p in x.pieces) < 800
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nb\nc\nd"), (3, "a\nb"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (None, "b\nc\nd"), (2, "x\na\nb\nc\nb\nc\nd")]
     t = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit("keep"), "_starts": F.lit(1), "l": F.lit(2)})
