@@ -161,6 +161,11 @@ def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     return names.select("k", tx.normalize_name("n").alias("norm"))
 
 
+def name_normalize_texts(spark: SparkSession, d: str) -> DataFrame:
+    """normalize_name over every whole text; name_normalize takes the first 40 characters, as its SQL does."""
+    return table(spark, d, "documents").select("doc_id", tx.normalize_name("text").alias("norm"))
+
+
 def _first_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chunk_id"), F.lit("e0").alias("id"), F.col("lang").alias("type"), F.split("text", "\n")[0].alias("name"))
@@ -237,7 +242,7 @@ def pipeline_e2e(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     trait_beta, trait_topk, calibrate_clamp, sentence_index, sentence_windows, person_windows, chunk_offsets, recursive_chunks, json_entities, slug_labels, relation_lookup, span_clip, entity_table, relation_fuse,
-    event_fuse, name_normalize, exact_merge, canonical_names, band_pairs, name_similarity, sim_route, entity_clusters, context_snippet, kg_nodes, kg_edges, pipeline_e2e,
+    event_fuse, name_normalize, name_normalize_texts, exact_merge, canonical_names, band_pairs, name_similarity, sim_route, entity_clusters, context_snippet, kg_nodes, kg_edges, pipeline_e2e,
 )}
 
 ORACLES = {

@@ -33,6 +33,16 @@ def test_query(spark, con, name):
     assert Counter(tuple(r[c] for c in cols) for r in rows) == Counter(tuple(r[names.index(c)] for c in cols) for r in want)
 
 
+def test_whole_texts_are_normalized(spark):
+    """By brute force on every text, past the first 40 characters."""
+    from quillspan.functions.text import plain_name
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.norm for r in queries.QUERIES["name_normalize_texts"](spark, SF).collect()}
+    assert got == {i: plain_name(t) for i, t in texts.items()}
+    assert max(map(len, got.values())) > 1000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
