@@ -1,19 +1,21 @@
 """N-gram Jaccard join by chosen paths: which texts share `threshold` or more of their shingles of `words` words.
 
 Texts with equal shingle sets are one vertex. A set is embedded into BINS min-hash tokens. Per run, a node of the recursion
-splits its sets by sampled tokens: each set goes on under each of its tokens whose hash under the node's path is below
-1 / (threshold * tokens), so that similar sets share a path with a chance known beforehand. Buckets of at most `small` sets are
-compared by brute force on the embedding; larger ones split again, `depth` times; what is then still large is alike and is compared
-to leaders (sets of which no earlier leader is close), in parts of bounded size. Runs repeat until the chance of missing a pair at
-the threshold in all of them is below 1 - recall.
+splits its sets by sampled tokens: each set goes on under each of its tokens whose hash under the node's path is low enough, so
+that similar sets share a path with a chance known beforehand. A bucket of at most `small` sets is compared by brute force on
+the embedding; a larger one splits again, `depth` times in all. What is then still large is alike, and is compared in
+blocks, two at a time. Runs repeat until a pair at the threshold is missed by all with a chance of 1 - recall at most.
 
-That gives loose candidate groups, as forests of links and not as pairs. Inside each group exact similarities of all
-whole sets are then counted, block against block, which finds every link of the group, also those that no run proposed. Classes are the components of
-the exact links.
+Whether a bucket is large is counted before any set moves, by sums that are taken before the shuffle; so no task ever gets a
+large bucket, and the sets are dealt once. Pairs of a bucket whose embeddings agree in LIKELY or more leave it as stars: a
+row for each set, with the least one that it is joined to. Stars that share a set are joined, which gives candidate groups. Inside each group
+exact similarities of whole sets are counted in blocks of bounded bytes and sets, which finds every link of the group, also those that no
+run proposed. Classes are the components of the exact links.
 
 Result per row: class_id (the smallest id of the class) and n_links (other distinct texts with a similarity of
 the threshold or more). A text of fewer words than a shingle is one shingle. Texts without words, null ones too, are linked to nothing and
-are their own class. Null ids count as the smallest id. Repeated rows share a class. Nothing is capped: large groups are compared in more blocks.
+are their own class. Null ids count as the smallest id. Repeated rows share a class. An empty table gives an empty result. Very long texts
+are read whole; a block holds at least one set. Nothing is capped: large groups are compared in more blocks.
 """
 
 from __future__ import annotations
@@ -30,15 +32,21 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .bytes_np import flat, groups, mix, runs_of, words
-from .common import NULL_ID, cut, id_key, packed, unpacked
-
-BINS = 64
-#: Agreement of embeddings from which two sets may be candidates: for small buckets, and around leaders (see _leaders).
-LIKELY, LEADER, NEAR_LEADER = 0.55, 0.45, 0.2
-#: Sets of a large bucket that are compared to leaders in one task.
-PART = 4096
-#: Bytes of sets in a block of the exact count.
-BLOCK_BYTES = 8_000_000
+from .common import NULL_ID, cut, id_key, packed, release, unpacked
+
+BINS = 128
+#: Agreement of embeddings from which two sets are candidates: five standard deviations below a similarity of 0.8.
+LIKELY = 0.62
+#: How often more than in the first split a token is chosen in a further one.
+BRANCH = 1.6
+#: Sets of a block of a large bucket, of which a task compares two.
+PART = 2048
+#: Bytes of sets, and sets, in a block of the exact count.
+BLOCK_BYTES, BLOCK_SETS = 8_000_000, 1024
+#: The paths of large buckets are broadcast up to so many a level (16 bytes each), else joined by shuffle (AQE splits hot ones).
+BROADCAST_PATHS = 500_000
+#: Paths that a task counts before it sends the counts on.
+AT_ONCE = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,54 +61,55 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def embed(s: np.ndarray) -> np.ndarray:
-    """One token for each bin of hashes: the least hash in it, 0 if none. The token holds the bin in its upper bits."""
-    out = np.zeros(BINS, np.uint64)
+    """One token for each bin of hashes: eight bits of the least hash in it, 0 if there is none."""
+    out = np.zeros(BINS, np.uint8)
     if len(s):
-        bins = (s >> np.uint64(58)).astype(np.int64)
+        bins = (s >> np.uint64(57)).astype(np.int64)
         head = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-        out[bins[head]] = np.maximum(s[head], np.uint64(1))
+        out[bins[head]] = (s[head] >> np.uint64(20)) % np.uint64(255) + np.uint64(1)
     return out
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """16 bits of each token, 0 for none: enough to estimate a similarity."""
-    return np.where(tokens > 0, np.maximum((tokens >> np.uint64(20)).astype(np.uint16), 1), 0).astype(np.uint16)
+def survival(depth: int, branch: float = BRANCH) -> float:
+    """The chance that a pair at the threshold shares a bucket after up to `depth` splits of one run.
 
+    Such a pair shares one chosen token in the first split on average and `branch` in a further one, by a Poisson count."""
+    p = 1.0
+    for k in range(depth):
+        p = 1 - math.exp(-p * (branch if k < depth - 1 else 1.0))
+    return p
 
-def runs_needed(recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has shared a bucket of `depth` splits with the chance `recall` at least.
 
-    Such a pair shares one chosen token a split on average; a Poisson count of those dies out by the split with the chance q."""
-    q = 0.0
-    for _ in range(depth):
-        q = math.exp(q - 1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(q)))
+def runs_needed(recall: float, depth: int) -> int:
+    """Runs after which such a pair has shared a bucket with the chance `recall` at least."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth))))
 
 
 class Tokens:
-    """The tokens of rows, scattered, with each row's bound for being chosen."""
+    """The tokens of embeddings, scattered, with each row's bound for being chosen."""
 
-    def __init__(self, tokens: np.ndarray, threshold: float):
-        there = tokens > 0
-        self.scattered = mix(tokens * _GOLD)
+    def __init__(self, sig: np.ndarray, threshold: float):
+        there = sig > 0
+        self.scattered = mix((sig.astype(np.uint64) + np.arange(BINS, dtype=np.uint64) * np.uint64(256)) * _GOLD)
         share = 1 / (threshold * np.maximum(there.sum(axis=1), 1))
-        self.low = np.where(there, np.minimum(share, 1.0)[:, None] * 2.0**64, -1.0)
+        self.there, self.share = there, share[:, None]
 
-    def choose(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def choose(self, paths: np.ndarray, branch: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """(row, new path) of each token that a row's path chooses."""
         at = mix(self.scattered ^ paths[:, None])
-        row, column = np.nonzero(at.astype(np.float64) < self.low)
-        return row, mix(at[row, column] + _GOLD)
+        low = np.where(self.there, np.minimum(self.share * branch, 1.0) * 2.0**64, -1.0)
+        row, column = np.nonzero(at.astype(np.float64) < low)
+        return row, mix(at[row, column] + _GOLD).view(np.int64)
 
 
-def _matrix(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, BINS)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """From rows in order of keys: tables of whole groups, and where in them the groups begin."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 8_000_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows in order of keys: tables of whole groups of `most` bytes or a little more, and where in them the groups begin."""
     held: list[pa.Table] = []
-    rows = 0
+    size = 0
 
     def heads(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -111,22 +120,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int =
         return np.flatnonzero(new)
 
     for b in batches:
-        held.append(pa.Table.from_batches([b]))
-        rows += b.num_rows
-        if rows < most:
-            continue
-        t = pa.concat_tables(held)
-        h = heads(t)
-        if len(h) > 1:
-            yield t.slice(0, int(h[-1])), h[:-1]
-        held, rows = [t.slice(int(h[-1]))], t.num_rows - int(h[-1])
-    if rows:
+        step = max(1, b.num_rows * most // max(1, 2 * b.nbytes))
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            held.append(pa.Table.from_batches([part]))
+            size += part.nbytes
+            if size < most:
+                continue
+            t = pa.concat_tables(held)
+            h = heads(t)
+            if len(h) > 1:
+                yield t.slice(0, int(h[-1])), h[:-1]
+            held = [t.slice(int(h[-1]))]
+            size = held[0].nbytes
+    if size:
         t = pa.concat_tables(held)
         yield t, heads(t)
 
 
 class Forest:
-    """Disjoint sets of small integers."""
+    """Disjoint sets of small integers; each is named by its least member."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -143,84 +156,99 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of bins with equal tokens among those that either has; rows pairwise."""
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    return same / np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-
+def _count(marks: np.ndarray) -> np.ndarray:
+    """How many of each row's BINS marks are set, eight bytes at a time."""
+    lanes = np.ascontiguousarray(marks).view(np.uint64).sum(axis=1)
+    return ((lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
 
-def _edges(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-
-def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of small buckets: a forest of the pairs whose embeddings agree."""
-    for t, head in whole_groups(batches, ["path"]):
-        sig, v = _matrix(t.column("sig").combine_chunks(), np.uint16), t.column("v").to_pylist()
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of bins with equal tokens among those that either has; rows pairwise."""
+    there = a > 0
+    return _count((a == b) & there) / np.maximum(_count(there | (b > 0)), 1)
+
+
+def alike(sig: np.ndarray, likely: float = LIKELY) -> np.ndarray:
+    """For each row the least one that a chain of pairs with an agreement of `likely` or more joins it to.
+
+    Rows are compared one by one to all that are not joined to them yet; when all but those of the largest class have been, every pair across classes has been compared."""
+    n = len(sig)
+    root, size = np.arange(n), np.ones(n, np.int64)
+    todo = np.ones(n, bool)
+    there = sig > 0
+    i = 0
+    while i < n:
+        todo[i] = False
+        share = _count((sig == sig[i]) & there) / np.maximum(_count(there | there[i]), 1)
+        near = np.flatnonzero((share >= likely) & (root != root[i]))
+        if len(near):
+            names = np.unique(np.append(root[near], root[i]))
+            size[names[0]] = size[names].sum()
+            size[names[1:]] = 0
+            root[np.isin(root, names)] = names[0]
+        rest = todo & (root != size.argmax())
+        i = int(rest.argmax()) if rest.any() else n
+    return root
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, up) of each set of a bucket that is joined to another: the least set of those joined; it has a row itself."""
+    for t, head in whole_groups(batches, ["path", "x", "y"]):
+        sig, v = _matrix(t.column("sig")), t.column("v").combine_chunks()
         size = np.diff(np.append(head, t.num_rows))
         forest = Forest(t.num_rows)
         for n in np.unique(size).tolist():
-            if n < 2:
-                continue
-            i, j = np.triu_indices(n, 1)
             at = head[size == n]
-            step = max(1, 20_000 // len(i))
-            for k in range(0, len(at), step):
-                x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                near = _agreement(sig[x], sig[y]) >= LIKELY
-                for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                    forest.join(p, q)
-        root = [forest.find(i) for i in range(t.num_rows)]
-        linked = [i for i in range(t.num_rows) if root[i] != i]
-        yield _edges([v[root[i]] for i in linked], [v[i] for i in linked])
-
-
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of large buckets to leaders: (part_of, a, b), and each leader as (part_of, leader, leader).
-
-    A set is led if its agreement with a leader is LEADER or more; it links all leaders with NEAR_LEADER or more. By the triangle
-    inequality of the Jaccard distance a set within 0.2 of one that is within 0.55 of a leader is within 0.75 of that
-    leader, so a link between sets with different leaders joins the leaders' groups. Of these links a forest is told: at
-    most one for each set and one for each two groups that it joins.
-    """
-    current, sigs, names, forest = None, np.zeros((0, BINS), np.uint16), [], Forest(0)
-    for b in batches:
-        paths = b.column("part_of").to_pylist()
-        sig, v = _matrix(b.column("sig"), np.uint16), b.column("v").to_pylist()
-        out: tuple[list, list, list] = ([], [], [])
-
-        def tell(p: str, x: bytes, y: bytes, out=out) -> None:
-            for column, value in zip(out, (p, x, y), strict=True):
-                column.append(value)
-
-        for i, p in enumerate(paths):
-            if p != current:
-                current, sigs, names, forest = p, np.zeros((0, BINS), np.uint16), [], Forest(0)
-            near = _agreement(sigs, sig[i][None]) if names else np.zeros(0)
-            joined: set[int] = set()
-            for k in np.flatnonzero(near >= NEAR_LEADER).tolist():
-                root = forest.find(k)
-                if root not in joined:
-                    tell(p, names[k], v[i])
-                    for other in joined:
-                        forest.join(root, other)
-                    joined = {forest.find(root)}
-            if not len(near) or near.max() < LEADER:
-                sigs, names = np.vstack([sigs, sig[i][None]]), [*names, v[i]]
-                forest.up.append(len(names) - 1)
-                if joined:
-                    forest.join(len(names) - 1, joined.pop())
-                tell(p, v[i], v[i])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["part_of", "a", "b"])
+            if n > 64:
+                for a in at.tolist():
+                    for i, r in enumerate(alike(sig[a : a + n]).tolist()):
+                        forest.up[a + i] = a + r
+            elif n > 1:
+                i, j = np.triu_indices(n, 1)
+                step = max(1, 20_000 // len(i))
+                for k in range(0, len(at), step):
+                    x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                    near = _agreement(sig[x], sig[y]) >= LIKELY
+                    for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                        forest.join(p, q)
+        root = np.array([forest.find(i) for i in range(t.num_rows)], np.int64)
+        joined = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        yield pa.RecordBatch.from_arrays([v.take(pa.array(joined)), v.take(pa.array(root[joined]))], ["v", "up"])
+
+
+def in_common(holder: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of n sets share, above the diagonal (n x n), from the sets that hold each token, in order, and their number.
+
+    Tokens of many sets are counted by products of matrices, those of few pair by pair."""
+    both = np.zeros((n, n), np.float32)
+    begin = np.cumsum(many) - many
+    dense = np.flatnonzero(many * 12 > n)
+    width = max(64, 4_000_000 // n)
+    for k in range(0, len(dense), width):
+        part = dense[k : k + width]
+        has = np.zeros((n, len(part)), np.float32)
+        pick = np.repeat(begin[part] - (np.cumsum(many[part]) - many[part]), many[part]) + np.arange(int(many[part].sum()))
+        has[holder[pick], np.repeat(np.arange(len(part)), many[part])] = 1
+        both += has @ has.T
+    cells = both.ravel()
+    few = (many > 1) & (many * 12 <= n)
+    for m in np.unique(many[few]).tolist():
+        at = begin[few & (many == m)]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 500_000 // len(i))
+        for k in range(0, len(at), step):
+            own = holder[at[k : k + step, None] + np.arange(m)]
+            np.add.at(cells, (own[:, i] * n + own[:, j]).ravel(), np.float32(1))
+    return both
 
 
 def _exact(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each pair of blocks: how many texts each set is linked to, and a forest of the links."""
+    """For each pair of blocks: how many texts each set is linked to, and the least set that links of the pair of blocks join it to."""
     least = round(threshold * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, head in whole_groups(batches, ["g", "x", "y"], 2_000):
-            v, copies = t.column("v").to_pylist(), t.column("texts").to_numpy()
+        for t, head in whole_groups(batches, ["g", "x", "y"]):
+            v, copies = t.column("v").combine_chunks(), t.column("texts").to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
             x, y, own = t.column("x").to_numpy(), t.column("y").to_numpy(), t.column("block").to_numpy()
@@ -231,153 +259,237 @@ def _exact(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 if n < 2:
                     continue
                 every = np.concatenate(sets[a:b])
-                who = np.repeat(np.arange(n), size[a:b])
                 order = np.argsort(every, kind="stable")
                 e = every[order]
                 begin = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
                 many = np.diff(np.append(begin, len(e)))
-                token = np.repeat(np.cumsum(many > 1) - 1, many)
-                common = np.repeat(many > 1, many)
-                token, holder = token[common], who[order][common]
-                both = np.zeros((n, n), np.float32)
-                kinds = int(token[-1]) + 1 if len(token) else 0
-                width = max(256, 16_000_000 // n)
-                for k in range(0, kinds, width):
-                    lo, hi = np.searchsorted(token, [k, k + width])
-                    has = np.zeros((n, min(width, kinds - k)), np.float32)
-                    has[holder[lo:hi], token[lo:hi] - k] = 1
-                    both += has @ has.T
-                i = np.rint(both).astype(np.int64)
-                ok = i * 1_000_000 >= least * (size[a:b, None] + size[None, a:b] - i)
-                np.fill_diagonal(ok, False)
-                if x[a] != y[a]:  # within a block its own pair of blocks counts
-                    ok &= own[a:b, None] != own[None, a:b]
-                links[a:b] = ok @ copies[a:b]
-                for p, q in zip(*np.nonzero(np.triu(ok)), strict=True):
-                    forest.join(a + int(p), a + int(q))
+                holder = np.repeat(np.arange(n), size[a:b])[order]
+                both = in_common(holder, many, n)
+                for i in range(0, n, 256):  # some rows at a time
+                    c = np.rint(both[i : i + 256]).astype(np.int64)
+                    ok = c * 1_000_000 >= least * (size[a + i : a + i + 256][: len(c), None] + size[None, a:b] - c)
+                    ok &= np.arange(i, i + len(c))[:, None] < np.arange(n)[None]
+                    if x[a] != y[a]:  # within a block its own pair of blocks counts
+                        ok &= own[a + i : a + i + len(c), None] != own[None, a:b]
+                    links[a + i : a + i + len(c)] += ok @ copies[a:b]
+                    links[a:b] += copies[a + i : a + i + len(c)] @ ok
+                    for p, q in zip(*np.nonzero(ok), strict=True):
+                        forest.join(a + i + int(p), a + int(q))
             root = [forest.find(i) for i in range(len(v))]
-            # Each vertex with its links in this pair of blocks, and the one that it hangs from in the forest.
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array([v[r] for r in root], pa.binary()), pa.array(links)], ["v", "up", "links"])
+            yield pa.RecordBatch.from_arrays([v, v.take(pa.array(root)), pa.array(links)], ["v", "up", "links"])
 
     return run
 
 
-def candidate_groups(sigs: DataFrame, threshold: float, recall: float, depth: int, small: int) -> DataFrame | None:
-    """(v, root) of loose groups, from (v, tokens, sig); None if there are no candidates."""
-    runs = runs_needed(recall, depth)
+def joined(stars: DataFrame) -> DataFrame:
+    """(v, root) of stars (v, ups): all sets that each is joined to, itself included if it is the centre of a star.
+
+    A set hangs from the least of its centres; only links between centres go through rounds of components."""
+    links = stars.where(F.size("ups") > 1).select(F.col("ups")[0].alias("a"), F.explode(F.slice("ups", 2, F.size("ups"))).alias("b")).distinct()
+    links = cut(links)
+    hung = stars.select("v", F.col("ups")[0].alias("up"))
+    if not links.limit(1).count():
+        release(links)
+        return hung.withColumnRenamed("up", "root")
+    labels = components(links)
+    release(links)
+    out = hung.join(labels.select(F.col("v").alias("up"), "root"), "up", "left").select("v", F.coalesce("root", "up").alias("root"))
+    out._uses = labels
+    return out
+
+
+KIND = "path long, x int, y int, v binary, sig binary"
+
+
+def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def walk(sig: np.ndarray, start: np.uint64, threshold: float, large: list[np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of one run (level, rows, their paths): those that stop at each level, as their bucket there is none of `large`, and those
+    that go on to the first level of which `large` tells nothing, or stop in a large bucket after `depth` splits."""
+    row, path = Tokens(sig, threshold).choose(np.full(len(sig), start))
+    for level, paths in enumerate(large, 1):
+        goes_on = _is_in(path, paths)
+        yield level, row[~goes_on], path[~goes_on]
+        row, path = row[goes_on], path[goes_on]
+        if level < depth:
+            sub, path = Tokens(sig[row], threshold).choose(path.view(np.uint64), BRANCH)
+            row = row[sub]
+    yield len(large) + 1, row, path
+
+
+def _dealt(given: DataFrame, starts: np.ndarray, threshold: float, depth: int, small: int) -> DataFrame | None:
+    """The rows of all buckets (KIND), by walks that know the large ones; None if these are too many to broadcast."""
+    large: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            path, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(path), pa.array(n)], ["path", "n"])
+
+        for b in batches:
+            sig = _matrix(b.column("sig"))
+            for i in range(0, b.num_rows, 1000):
+                for start in starts:
+                    held += [path for level, _, path in walk(sig[i : i + 1000], start, threshold, told.value[0], depth) if level > len(told.value[0])]
+                if sum(map(len, held)) > AT_ONCE:
+                    yield summed()
+        yield summed()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, sizes = told.value
+        for b in batches:
+            sig = _matrix(b.column("sig"))
+            for i in range(0, b.num_rows, 1000):
+                for start in starts:
+                    for level, row, path in walk(sig[i : i + 1000], start, threshold, paths, depth):
+                        x = y = np.zeros(len(row), np.int64)
+                        if level > depth:  # blocks of a bucket that is large to the end meet two at a time
+                            parts = -(-sizes[-1][np.searchsorted(paths[-1], path)] // PART)
+                            own = np.array([int.from_bytes(b.column("v")[k].as_py()[:6], "big") for k in (row + i).tolist()], np.int64) % parts
+                            at = np.repeat(np.arange(len(row)), parts)
+                            other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                            row, path, x, y = row[at], path[at], np.minimum(own[at], other), np.maximum(own[at], other)
+                        if len(row):
+                            at = pa.array(row + i)
+                            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), b.column("v").take(at), b.column("sig").take(at)], ["path", "x", "y", "v", "sig"])
+
+    for _ in range(depth):
+        told = given.sparkSession.sparkContext.broadcast((large, sums))
+        # Sums are taken before the shuffle; a path says the same of a bucket's size to all its sets.
+        hot = cut(given.select("sig").mapInArrow(counts, "path long, n long").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") > small))
+        n = hot.limit(BROADCAST_PATHS + 1).count()
+        found = hot.orderBy("path").toArrow() if 0 < n <= BROADCAST_PATHS else None
+        release(hot)
+        if n > BROADCAST_PATHS:
+            return None
+        large.append(found.column("path").to_numpy() if n else np.zeros(0, np.int64))
+        sums.append(found.column("n").to_numpy() if n else np.zeros(0, np.int64))
+        if not n:
+            break
+    told = given.sparkSession.sparkContext.broadcast((large, sums))
+    return given.mapInArrow(rows, KIND)
+
+
+def _dealt_by_join(given: DataFrame, starts: np.ndarray, threshold: float, depth: int, small: int, used: list[DataFrame]) -> DataFrame:
+    """As _dealt, the large buckets being joined to the rows of each level."""
+    none = np.zeros(0, np.int64)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, v = _matrix(b.column("tokens"), np.uint64), b.column("v")
+            sig = _matrix(b.column("sig"))
             for i in range(0, b.num_rows, 1000):
-                part = Tokens(tokens[i : i + 1000], threshold)
-                for r in range(runs):
-                    row, path = part.choose(np.full(len(part.low), mix(np.array([r + 1], np.uint64))[0]))
-                    yield pa.RecordBatch.from_arrays([v.take(pa.array(row + i)), pa.array(path.view(np.int64))], ["v", "path"])
+                for start in starts:
+                    for _, row, path in walk(sig[i : i + 1000], start, threshold, [none], 1):
+                        at = pa.array(row + i)
+                        yield pa.RecordBatch.from_arrays([pa.array(path), b.column("v").take(at), b.column("sig").take(at)], ["path", "v", "sig"])
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, path = Tokens(_matrix(b.column("tokens"), np.uint64), threshold).choose(b.column("path").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(row)), pa.array(path.view(np.int64))], ["v", "path"])
+            row, path = Tokens(_matrix(b.column("sig")), threshold).choose(b.column("path").to_numpy().view(np.uint64), BRANCH)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(path), b.column("v").take(at), b.column("sig").take(at)], ["path", "v", "sig"])
 
-    kind = "v binary, path long"
-    level = sigs.select("v", "tokens").mapInArrow(first, kind)
-    deep, sigs = sigs.select("v", "tokens"), sigs.select("v", "sig")
-    found = []
+    zero = F.lit(0).cast("int")
+    level, out = given.mapInArrow(first, "path long, v binary, sig binary"), None
     for d in range(1, depth + 1):
-        # Counts are summed before the shuffle; paths of one set only end here.
-        size = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = cut(level.join(size, "path"))
-        few = rows.where(F.col("n") <= small).join(sigs, "v").select("path", "v", "sig")
-        found.append(few.repartition("path").sortWithinPartitions("path", "v").mapInArrow(_brute, "a binary, b binary"))
-        big = rows.where(F.col("n") > small)
-        if not big.limit(1).count():
-            big = None
-            break
-        if d < depth:
-            level = big.join(deep, "v").select("v", "path", "tokens").mapInArrow(further, kind)
-    big = big.withColumn("parts", F.ceil(F.col("n") / PART)) if big is not None else None
-    while big is not None:
-        # Parts of bounded size; the leaders of a bucket's parts meet in the next turn, in one part if parts no longer help.
-        name = F.concat_ws(":", "path", F.pmod(F.xxhash64("v", "n"), "parts"))
-        rows = big.join(sigs, "v").select("v", "sig", name.alias("part_of"))
-        led = cut(rows.repartition("part_of").sortWithinPartitions("part_of", "v").select("part_of", "v", "sig").mapInArrow(_leaders, "part_of string, a binary, b binary"))
-        found.append(led.where("a != b").select("a", "b"))
-        split = big.where("parts > 1").select("path", F.col("n").alias("was")).distinct()
-        if not split.limit(1).count():
-            break
-        heads = led.where("a = b").select(F.split("part_of", ":")[0].cast("long").alias("path"), F.col("a").alias("v")).join(split, "path")
-        size = heads.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        big = cut(heads.join(size, "path").withColumn("parts", F.when(F.col("n") * 2 > F.col("was"), F.lit(1)).otherwise(F.ceil(F.col("n") / PART))).select("v", "path", "n", "parts"))
-    edges = found[0]
-    for e in found[1:]:
-        edges = edges.union(e)
-    edges = cut(edges.distinct())
-    return components(edges) if edges.limit(1).count() else None
+        hot = cut(level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small))
+        told = level.join(hot, "path", "left")
+        stop = told.where("n is null").select("path", zero.alias("x"), zero.alias("y"), "v", "sig")
+        out = stop if out is None else out.union(stop)
+        rest = cut(told.where("n is not null"))
+        used += [hot, rest]
+        level = rest.select("path", "v", "sig").mapInArrow(further, "path long, v binary, sig binary") if d < depth else rest
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = level.withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return out.union(dealt.select("path", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "v", "sig"))
+
+
+def candidate_groups(sets: DataFrame, threshold: float, recall: float, depth: int, small: int) -> DataFrame | None:
+    """(v, root) of candidate groups, a cut, from (v, sig); None if there are no candidates."""
+    starts = mix(np.arange(1, runs_needed(recall, depth) + 1, dtype=np.uint64))
+    given = sets.select("v", "sig")
+    used: list[DataFrame] = []
+    rows = _dealt(given, starts, threshold, depth, small) or _dealt_by_join(given, starts, threshold, depth, small, used)
+    stars = rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y", "v").mapInArrow(_stars, "v binary, up binary")
+    ups = cut(stars.groupBy("v").agg(F.array_sort(F.collect_set("up")).alias("ups")))
+    release(*used)
+    out = None
+    if ups.limit(1).count():
+        found = joined(ups)
+        out = cut(found)
+        release(getattr(found, "_uses", None))
+    release(ups)
+    return out
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, recall: float = 0.9999, depth: int = 3, small: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_id, _th, root, class_id, n_links), a row for each distinct pair of id and text; _th is xxhash64 of the text.
+def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, recall: float = 0.999, depth: int = 3, small: int = 1024, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(_raw, _id, _th, root, class_id, n_links), a row for each row of `docs`: _raw is its id, _th xxhash64 of its text.
 
     root names the class, whatever ids its members have; null for a text without words, a class of its own."""
-    base = docs.select(id_key(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    base = docs.select(F.col(doc_id).alias("_raw"), id_key(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, tokens, sig, size = [], [], [], []
+            v, sig, size = [], [], []
             for s in shingle_sets(b.column("_text"), words_in):
                 v.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                tokens.append(embed(s))
-                sig.append(sketch(tokens[-1]).tobytes())
+                sig.append(embed(s).tobytes())
                 size.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(v, pa.binary()), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], ["_id", "_th", "v", "tokens", "sig", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], ["_raw", "_id", "_th", "v", "sig", "size"])
 
-    signed = cut(base.mapInArrow(sign, "_id long, _th long, v binary, tokens binary, sig binary, size long"))
-    members = signed.select("_id", "_th", "v", "size").distinct()
-    named = members.where("v is not null")
+    from pyspark.sql.types import StructType
+
+    signed = cut(base.mapInArrow(sign, StructType([base.schema["_raw"], *StructType.fromDDL("_id long, _th long, v binary, sig binary, size long").fields])))
     # One row for each set, with the document that stands for it and how many different texts have it.
-    texts = named.select("v", "_th").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("texts"))
-    least = cut(named.groupBy("v").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.max("size").alias("size")).join(texts, "v").select("v", "rep._id", "rep._th", "size", "texts"))
-    sigs = cut(signed.join(least.select("v", "_id", "_th"), ["_id", "_th", "v"]).select("v", "tokens", "sig").dropDuplicates(["v"]))
-    loose = candidate_groups(sigs, threshold, recall, depth, small)
-    alone = members.where("v is null").select("_id", "_th", F.col("v").alias("root"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    texts = signed.where("v is not null").groupBy("v", "_th").agg(F.min("_id").alias("_id"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    sets = cut(texts.groupBy("v").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.count(F.lit(1)).alias("texts")))
+    loose = candidate_groups(sets, threshold, recall, depth, small)
+    known = sets.select("v", "rep", "texts")
     if loose is None:
-        linked = None
+        classes = known.select("v", F.col("v").alias("root"), "rep", "texts", F.lit(0).cast("long").alias("links"))
+        exact = None
     else:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sets = pa.array([s.tobytes() for s in shingle_sets(b.column("_text"), words_in)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], sets], [*names, "s"])
+                found = pa.array([s.tobytes() for s in shingle_sets(b.column("_text"), words_in)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], [*names, "s"])
 
         names = ["v", "g", "texts", "block", "blocks"]
-        wanted = loose.select("v", F.col("root").alias("g")).join(least, "v")
-        blocks = wanted.groupBy("g").agg(F.ceil(F.sum(F.col("size") * 8 + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+        wanted = loose.select("v", F.col("root").alias("g")).join(sets.select("v", "rep._id", "rep._th", "size", "texts"), "v")
+        blocks = wanted.groupBy("g").agg(F.greatest(F.ceil(F.sum(F.col("size") * 8 + 64) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
         wanted = wanted.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
         # Repeated rows are read once.
         once = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
-        sets = base.join(wanted, ["_id", "_th"]).withColumn("_once", once).where("_once = 1").select(*names, "_text").mapInArrow(read, "v binary, g binary, texts long, block int, blocks int, s binary")
-        dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "v", "texts", "s")
-        exact = cut(dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "v").mapInArrow(_exact(threshold), "v binary, up binary, links long"))
-        count = exact.groupBy("v").agg(F.sum("links").alias("links"))
-        joined = components(exact.where("v != up").select(F.col("v").alias("a"), F.col("up").alias("b")))
-        linked = count.join(joined, "v", "left")
-    rows = named.join(least.select("v", "texts"), "v")
-    if linked is not None:
-        rows = rows.join(linked, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    else:
-        rows = rows.withColumns({"root": F.col("v"), "links": F.lit(0).cast("long")})
-    smallest = rows.groupBy("root").agg(F.min("_id").alias("class_id"))
-    rows = rows.join(smallest, "root").select("_id", "_th", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long").alias("n_links"))
-    return cut(rows.union(alone))
+        whole = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"]).withColumn("_once", once).where("_once = 1").select(*names, "_text").mapInArrow(read, "v binary, g binary, texts long, block int, blocks int, s binary")
+        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "v", "texts", "s")
+        counted = dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "v").mapInArrow(_exact(threshold), "v binary, up binary, links long")
+        exact = cut(counted.groupBy("v").agg(F.sum("links").alias("links"), F.array_sort(F.collect_set("up")).alias("ups")))
+        found = joined(exact.select("v", "ups"))
+        linked = exact.select("v", "links").join(found, "v")
+        classes = known.join(linked, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "rep", "texts", F.coalesce("links", F.lit(0)).alias("links"))
+    least = classes.groupBy("root").agg(F.min("rep._id").alias("class_id"))
+    told = cut(classes.join(least, "root").select("v", "root", "class_id", (F.col("links") + F.col("texts") - 1).alias("n_links")))
+    if loose is not None:
+        release(getattr(found, "_uses", None))
+    release(loose, exact, sets)
+    rows = signed.select("_raw", "_id", "_th", "v")
+    some = rows.where("v is not null").join(told, "v").select("_raw", "_id", "_th", "root", "class_id", "n_links")
+    return some.union(rows.where("v is null").select("_raw", "_id", "_th", F.col("v").alias("root"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """(id, class_id, n_links), a row for each row of `docs`."""
     found = near_classes(docs, text=text, doc_id=doc_id, **how)
-    keys = docs.select(F.col(doc_id), id_key(doc_id).alias("_id"), F.xxhash64(text).alias("_th"))
-    null = F.when(F.col("class_id") != NULL_ID, F.col("class_id"))
-    return keys.join(found, ["_id", "_th"]).select(doc_id, null.alias("class_id"), "n_links")
+    return found.select(F.col("_raw").alias(doc_id), F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
