@@ -2,12 +2,13 @@
 
 A vocabulary file of ranks (base64 token, rank) becomes a BPE model whose symbols are the usual characters for bytes:
 every way in which two tokens make up a third is a merge, ordered by the third's rank, so that merging goes by rank as in
-rank-based encoders. Texts are cut by the pattern in the JVM; a batch's distinct pieces are encoded once, and the ids and
+rank-based encoders. Texts are cut by the pattern in the Python worker, by a library whose Unicode tables are new enough; a group's distinct pieces are encoded once, and the ids and
 offsets of all pieces are gathered from them. Decoding reverses the byte table and joins the bytes before reading them as
 UTF-8, so that characters whose bytes are split over tokens come back whole.
 
-Null texts count as empty and have no ids; special tokens are never made or recognised. Repeated rows get equal results.
-Texts are encoded whole, in groups of bounded size. Ids outside the vocabulary fail decoding.
+Null texts count as empty and have no ids; special tokens are never made or recognised. Repeated rows get equal results, an empty table an empty one.
+Texts are encoded whole, in groups of bounded size, a very long one some pieces at a time. Ids outside the vocabulary fail decoding. Input columns
+may have any name but those that are made, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,20 +16,19 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, unpacked, wider
 
-#: Where white space is to mean Unicode's in the JVM.
-UNICODE = "(?U)"
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBER = 100_000
-#: Pieces that are gathered at a time.
+#: Pieces that are gathered, and ids that are decoded, at a time.
 GROUP = 200_000
 _CODECS: dict[str, Codec] = {}
 
@@ -66,26 +66,25 @@ class Codec:
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.spans = np.zeros((0, 2), np.int32)
 
-    def learn(self, distinct: list[str]) -> np.ndarray:
-        """The numbers of the pieces, after new ones have been encoded, each by itself."""
-        new = [p for p in distinct if p not in self.known]
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces that aren't known, each by itself."""
+        e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+        self.begin = np.append(self.begin, np.cumsum(n) - n + len(self.ids))
+        self.count = np.append(self.count, n)
+        self.ids = np.append(self.ids, np.array(e.ids, np.int32))
+        self.spans = np.concatenate([self.spans, np.array(e.offsets, np.int32).reshape(-1, 2)])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+
+    def encode(self, pieces: list[str], offsets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Number of tokens of each piece, all ids, and their character offsets in the piece (n x 2)."""
+        new = sorted(set(pieces).difference(self.known))
         if len(self.known) + len(new) > REMEMBER:
             self.forget()
-            new = distinct
+            new = sorted(set(pieces))
         if new:
-            e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
-            self.begin = np.append(self.begin, np.cumsum(n) - n + len(self.ids))
-            self.count = np.append(self.count, n)
-            self.ids = np.append(self.ids, np.array(e.ids, np.int32))
-            self.spans = np.concatenate([self.spans, np.array(e.offsets, np.int32).reshape(-1, 2)])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
-
-    def encode(self, pieces: pa.StringArray, offsets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Number of tokens of each piece, all ids, and their character offsets in the piece (n x 2)."""
-        coded = pieces.dictionary_encode()
-        at = self.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         many = self.count[at]
         pick = np.repeat(self.begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         return many, self.ids[pick], self.spans[pick].astype(np.int64) if offsets else None
@@ -123,6 +122,25 @@ def _decode_lists(c: Codec, lists: pa.ListArray) -> pa.Array:
     return pa.array(data, pa.binary())
 
 
+def _pieces(texts: list[str | None], pattern: regex.Pattern) -> Iterator[tuple[list[str], list[int]]]:
+    """The pieces of texts in order, about GROUP at a time, and how many texts end after how many pieces of the group."""
+    pieces: list[str] = []
+    ends: list[int] = []
+    for text in texts:
+        found = pattern.findall(text or "") if len(text or "") < GROUP else (m[0] for m in pattern.finditer(text))
+        if not isinstance(found, list):  # a very long text, some pieces at a time
+            while len(part := list(islice(found, GROUP))) == GROUP:
+                yield pieces + part, ends
+                pieces, ends = [], []
+            found = part
+        pieces += found
+        ends.append(len(pieces))
+        if len(pieces) >= GROUP:
+            yield pieces, ends
+            pieces, ends = [], []
+    yield pieces, ends
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """The columns of `docs` without the text, and `ids` (array<int>).
 
@@ -131,43 +149,38 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     """
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     made = ["ids", *["offsets"] * offsets, *["decoded"] * decoded]
-    pieces_of = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNICODE + pattern), F.lit(0))
-    parted = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), pieces_of.alias("pieces"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), F.col(text).cast("string").alias("text"))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c, cutter = codec(path), regex.compile(pattern)
         for b in batches:
-            lists = b.column(1)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            off = off - off[0]
-            pieces = lists.flatten()
-            counts, ids, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 2), np.int64)]
-            lengths = [np.zeros(0, np.int64)]
-            for i in range(0, len(pieces), GROUP):
-                part = pieces.slice(i, GROUP)
-                many, found, inside = c.encode(part, offsets)
-                counts.append(many)
+            ids, spans, lengths, ends, counts = [], [], [], [], []
+            done = 0
+            for pieces, stops in _pieces(b.column(1).to_pylist(), cutter):
+                many, found, inside = c.encode(pieces, offsets)
                 ids.append(found)
+                counts.append(many)
+                ends += [done + x for x in stops]
+                done += len(pieces)
                 if offsets:
                     spans.append(inside)
-                    lengths.append(pc.utf8_length(part).to_numpy().astype(np.int64))
-            many = np.concatenate(counts)
-            before = np.append(0, np.cumsum(many))[off].astype(np.int32)
-            out = [pa.ListArray.from_arrays(pa.array(before), pa.array(np.concatenate(ids)))]
+                    lengths.append(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            many, off = np.concatenate(counts), np.append(0, ends)
+            before = pa.array(np.append(0, np.cumsum(many))[off].astype(np.int32))
+            out = [pa.ListArray.from_arrays(before, pa.array(np.concatenate(ids)))]
             if offsets:
                 # Characters before each piece, less those before its text.
                 start = np.append(0, np.cumsum(np.concatenate(lengths)))
                 start = start[:-1] - np.repeat(start[off[:-1]], np.diff(off))
                 whole = np.concatenate(spans) + np.repeat(start, many)[:, None]
-                flat = pa.StructArray.from_arrays([pa.array(whole[:, k].astype(np.int32)) for k in (0, 1)], fields=list(span))
-                out.append(pa.ListArray.from_arrays(pa.array(before), flat))
+                out.append(pa.ListArray.from_arrays(before, pa.StructArray.from_arrays([pa.array(whole[:, k].astype(np.int32)) for k in (0, 1)], fields=list(span))))
             if decoded:
                 out.append(_decode_lists(c, out[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["row", *made])
 
     ddl = "ids array<int>" + ", offsets array<struct<start: int, end: int>>" * offsets + ", decoded binary" * decoded
-    return unpacked(parted.mapInArrow(run, wider(rest, ddl)), rest.columns, *made)
+    return unpacked(given.mapInArrow(run, wider(rest, ddl)), rest.columns, *made)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
