@@ -1,10 +1,11 @@
 """Line dedup by overlapping windows of three lines.
 
-Every run of three consecutive lines is hashed (128 bits). Of each window's occurrences over all documents the first
+Every run of three consecutive lines is hashed (128 bits: two hashes of each line from different seeds). Of each window's occurrences over all documents the first
 by (doc_id, position) stays; the lines that any later one covers go, overlaps merged. DataFrame functions only.
 
 Rows: one per row of the input. Null texts count as empty and stay null; a text of fewer lines than a window is
-never changed; null ids come first in the order; rows with equal id and text count as one document and get the same result.
+never changed; null ids come first in the order; rows with equal id and text count as one document and get the same result. An empty table gives an empty result. Texts are never cut: a very
+long one is a row of many windows. Input columns may have any name but `_lines`, which is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .common import id_key, packed, text_or_empty, unpacked
 def _windows(keyed: DataFrame, lines: int) -> DataFrame:
     """A row for each window: its two hashes, the document's key and the first line's position."""
     lined = keyed.select("_id", "_th", F.split("text", "\n", -1).alias("l")).where(F.size("l") >= lines)
-    lined = lined.select("_id", "_th", F.transform("l", lambda x: F.xxhash64(x)).alias("a"), F.transform("l", lambda x: F.xxhash64(x, F.lit(1))).alias("b"))
+    lined = lined.select("_id", "_th", F.transform("l", lambda x: F.xxhash64(x)).alias("a"), F.transform("l", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
     at = F.explode(F.sequence(F.lit(1), F.size("a") - (lines - 1)))
     row = lined.select("_id", "_th", "a", "b", at.alias("p"))
     pick = lambda c: F.xxhash64(*[F.element_at(c, F.col("p") + i) for i in range(lines)])
