@@ -5,7 +5,8 @@ cannot take goes to the others by weight. A document is emitted floor(rate) time
 its id shows a number below the rate's fraction. DataFrame functions only.
 
 Rows: one per row of the input. Null texts have size 0; the null source is a source of its own, the last in order.
-Repeated rows (and rows with equal ids) throw the same coin, so that reruns and repartitioning change nothing.
+Repeated rows (and rows with equal ids) throw the same coin, so that reruns and repartitioning change nothing; a null id's coin comes from the text.
+Very long texts only count more. Input columns may have any name but `_mix`, which is replaced.
 An empty table gives an empty result. Sources without words get target 0 and no copies.
 """
 
@@ -22,9 +23,10 @@ from .common import count_words, cut, packed, unpacked
 BROADCAST_SOURCES = 100_000
 
 
-def coin(seed: int, doc_id: Column) -> Column:
-    """A number in [0, 1) from the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def coin(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the seed and the id alone; of a row without an id, from its text."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), own))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
@@ -65,7 +67,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     out = packed(docs).withColumn("_size", count_words(row.getField(text))).join(right, row.getField(source).eqNullSafe(F.col("_t.source")), "left")
     rate = F.when(F.col("_t.source_size") > 0, F.col("_t.target") / F.col("_t.source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("_rate", rate)
-    once_more = (coin(seed, row.getField(doc_id)) < F.col("_rate") - F.floor("_rate")).cast("long")
+    once_more = (coin(seed, row.getField(doc_id), row.getField(text)) < F.col("_rate") - F.floor("_rate")).cast("long")
     mix = F.struct(F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), F.col("_rate").alias("rate"), (F.floor("_rate") + once_more).alias("copies"))
     return unpacked(out.withColumn("_mix", mix), docs.columns, "_mix")
 

@@ -24,7 +24,8 @@ def vocabulary() -> tuple[str, str]:
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    judged = quality_crf.judge_quality(docs, quality_crf.train_crf(docs, _labels(spark, sf_dir)))
+    common = quality_crf.common_lines(docs)
+    judged = quality_crf.judge_quality(docs, quality_crf.train_crf(docs, _labels(spark, sf_dir), common), common)
     q = F.col("_quality")
     return judged.select("doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")])
 
@@ -101,7 +102,8 @@ FROM s
 """
 
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS own FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(k - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 f AS (SELECT *, sum(cap) OVER o + cap / w * (sum(w) OVER () - sum(w) OVER o) <= total AS is_full FROM w
@@ -109,7 +111,7 @@ f AS (SELECT *, sum(cap) OVER o + cap / w * (sum(w) OVER () - sum(w) OVER o) <=
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, w * ((total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0))
       / sum(CASE WHEN NOT is_full THEN w END) OVER ())) END AS target FROM f),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-      ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
+      ('0x' || substr(md5('17:' || own), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS coin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
