@@ -11,8 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, bwt_dedup, jaccard_join, line_dedup, lm_score, lm_words, merkle, mixing, quality_crf, shared_windows, suffix_trees, toxicity
-from quillspan.llm.bytes_np import flat, words
+from quillspan.llm import bpe, bwt_dedup, jaccard_join, line_dedup, lm_words, merkle, mixing, quality_crf, shared_windows, suffix_trees, toxicity
+from quillspan.llm.bytes_np import flat, mix, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 random.seed(11)
@@ -106,14 +106,60 @@ def test_crf_is_exact():
     assert (fitted.decode(x[400:], text[400:]) == y[400:]).mean() > alone + 0.05  # the chain knows more than a line alone
 
 
+def test_minimize():
+    a = np.array([[3.0, 1.0], [1.0, 2.0]])
+    got = quality_crf.minimize(lambda w: (float(0.5 * w @ a @ w - w.sum()), a @ w - 1), np.zeros(2), 50)
+    assert got == pytest.approx(np.linalg.solve(a, np.ones(2)), abs=1e-3)
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     t, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
-    crf = quality_crf.train_crf(t, labels.where("doc_id % 2 = 0"))
-    rows = quality_crf.judge_quality(t.join(labels.where("doc_id % 2 = 1"), "doc_id"), crf).select("quality", "_quality.kept", "_quality.base_failed").collect()
+    common = quality_crf.common_lines(t)
+    crf = quality_crf.train_crf(t, labels.where("doc_id % 2 = 0"), common)
+    rows = quality_crf.judge_quality(t.join(labels.where("doc_id % 2 = 1"), "doc_id"), crf, common).select("quality", "_quality.kept", "_quality.base_failed").collect()
     bad = [r for r in rows if not r.quality]
     good = [r for r in rows if r.quality and not r.base_failed]
     assert sum(not r.kept for r in bad) >= 0.8 * len(bad) and sum(r.kept for r in good) >= 0.97 * len(good)
+    shares = [r.s for r in quality_crf.judge_quality(t, crf, common).select(F.col("_quality.content_share").alias("s")).collect()]
+    assert sum(0 < x < 1 for x in shares) > 0.2 * len(shares)
+
+
+def test_common_lines(spark, monkeypatch):
+    """Lines between others than always the same ones; copied texts have none, and texts made of such lines keep their labels."""
+    copied = "\n".join(prose(12, 700 + k).replace("\n", " ") for k in range(5))
+    rows = [(k, f"{prose(20, 80 + k)}\nmenu home\n{prose(30, 90 + k)}\nall rights reserved") for k in range(6)] + [(10 + k, copied) for k in range(5)] + [(20, "menu home\nall rights reserved\nab cd"), (21, None), (22, "")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = Counter()
+    beside = defaultdict(set)
+    for _, x in rows:
+        ls = (x or "").split("\n")
+        for i, line in enumerate(ls):
+            if WORD.search(line):
+                lines[line] += 1
+                beside[line, 0].add(ls[i - 1] if i else None)
+                beside[line, 1].add(ls[i + 1] if i + 1 < len(ls) else None)
+    want = {x for x, n in lines.items() if n >= 3 and (len(beside[x, 0]) > 1 or len(beside[x, 1]) > 1)}
+    assert {"menu home", "all rights reserved"} <= want and not want & set(copied.split("\n"))
+    hashes = {r.h: r.line for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
+    common = quality_crf.common_lines(t)
+    assert {hashes[h] for h in common.hashes.tolist()} == want
+    emit = np.zeros((len(quality_crf.FEATURES), 2))
+    emit[0, 0], emit[quality_crf.COMMON, 1] = 1.0, 5.0
+    crf = quality_crf.CRF(emit, np.zeros((2, 2)))
+    judge = lambda c: Counter((r.doc_id, tuple(r.labels), round(r.share, 9)) for r in quality_crf.judge_quality(t, crf, c).select("doc_id", "_quality.labels", F.col("_quality.content_share").alias("share")).collect())
+    got = judge(common)
+    for (i, labels, share) in got:
+        ls = [x for x in (dict(rows)[i] or "").split("\n") if WORD.search(x)]
+        n = [len(WORD.findall(x)) for x in ls]
+        minority = 2 * sum(k for x, k in zip(ls, n) if x in want) < sum(n)
+        assert labels == tuple(int(x in want and minority) for x in ls)
+        assert share == pytest.approx(sum(k for x, k in zip(labels, n) if not x) / max(1, sum(n)))
+    assert all(0 < share < 1 for i, _, share in got if i < 6) and all(share == 1 for i, _, share in got if 10 <= i <= 20)
+    monkeypatch.setattr(quality_crf, "BROADCAST_LINES", 0)
+    by_rows = quality_crf.common_lines(t)
+    assert by_rows.table is not None and judge(by_rows) == got
+    assert len(quality_crf.common_lines(t.limit(0)).hashes) == 0
 
 
 def removed_by_brute(rows, items, n):
@@ -270,7 +316,8 @@ def test_bpe(spark, docs, empty):
     exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(5)
     alphabet = [*"abcdeth nsAB 12'.,!\n\t", "é", "ß", "日", "🙂", "👨‍👩‍👧", " ", "½", "́", "<|endoftext|>"]
-    texts = [t for _, t in corpus()] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 80))) for _ in range(300)]
+    newer = ["'" + chr(0x319AC), chr(0x2EDF4) * 3, "a" + chr(0x1E4D0) + "'s", chr(0x11F50) + " 7", "n" + chr(0x10EFD)]
+    texts = [t for _, t in corpus()] + newer + ["é" * 200_000, "ab" * 30_000 + " 🙂" * 50, " " * 5000 + "x", "1" * 999] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 80))) for _ in range(300)]
     t = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumns({"ids": F.lit("old"), "pieces": F.lit(1), "row": F.lit(2)})
     out = bpe.decode_ids(bpe.encode_texts(t, path, P.PATTERN, offsets=True), path).collect()
     assert len(out) == len(texts)
@@ -287,48 +334,6 @@ def test_bpe(spark, docs, empty):
         bpe.decode_ids(spark.createDataFrame([([999_999],)], "ids array<int>"), path).collect()
 
 
-def reference_model(texts):
-    """Witten-Bell probabilities by dictionaries."""
-    counts = [Counter() for _ in range(5)]
-    for t in texts:
-        s = [27] * 3 + [int(lm_score.SYMBOL[b]) for b in (t or "").encode()]
-        for i in range(3, len(s)):
-            for n in range(1, 5):
-                counts[n][tuple(s[i - n + 1 : i + 1])] += 1
-    totals = [defaultdict(Counter) for _ in range(5)]
-    for n in range(1, 5):
-        for g, c in counts[n].items():
-            totals[n][g[:-1]][g[-1]] += c
-
-    def p(context, x):
-        if len(context) == 3 + 1:
-            raise AssertionError
-        below = p(context[1:], x) if context else 1 / lm_score.V
-        t = totals[len(context) + 1][context]
-        kinds = max(len(t), 1)
-        return (t[x] + kinds * below) / (sum(t.values()) + kinds)
-
-    return p
-
-
-def test_lm_score(spark, docs, empty):
-    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (9, None, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
-    out = lm_score.cross_entropy_difference(docs, labels).collect()
-    assert len(out) == len(corpus())
-    background, target = reference_model([t for _, t in corpus()]), reference_model([t for i, t in corpus() if i == 3])
-    by_id = {i: t for i, t in corpus()}
-    for r in out:
-        data = (by_id[r.doc_id] or "").encode()
-        if not data:
-            assert (r.n_tokens, r.lm_score, r.kept) == (0, None, False)
-        elif len(data) < 400:
-            s = [27] * 3 + [int(lm_score.SYMBOL[b]) for b in data]
-            loss = [-np.mean([np.log(p(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s))]) for p in (target, background)]
-            assert (r.target_loss, r.background_loss, r.lm_score) == pytest.approx((*loss, loss[0] - loss[1]), abs=1e-4)
-            assert r.kept == (r.lm_score <= 0)
-    assert lm_score.cross_entropy_difference(empty, labels).count() == 0
-
-
 def test_lm_words(spark, docs, empty, monkeypatch):
     """Against dictionaries of all words: the text's own counts are left out, and the tables grow with the words."""
     monkeypatch.setattr(lm_words, "BLOCK", 3000)
@@ -391,13 +396,62 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(docs, nobody).where("_toxicity.rejected").count() == 0
 
 
-def test_chain_uses_out_of_fold():
-    """Each model of the chain has one feature more than the one before, and training features are not the fitted ones."""
+def chain_sample():
     r = np.random.default_rng(3)
-    ids = [np.unique(r.integers(0, 50, 8).astype(np.uint64)) for _ in range(200)]
-    y = np.array([int(3 in x or 7 in x) for x in ids])
-    chain = toxicity.fit_chain(ids, y, n_features=20)
-    assert [len(m) for m in chain.models] == [21, 22, 23]
+    ids = [np.unique(r.integers(0, 50, 8).astype(np.uint64)) for _ in range(300)]
+    return ids, np.array([int((3 in x or 7 in x) and r.random() < 0.9) for x in ids])
+
+
+def test_chain_uses_out_of_fold():
+    """Later models are trained with what models of the other folds say of each text, not with fitted probabilities."""
+    ids, y = chain_sample()
+    chain = toxicity.fit_chain(ids, y, n_features=20, folds=5)
+    assert chain.names == ["kind_1", "kind_2", "toxic"] and [len(m) for m in chain.models] == [21, 22, 23]
+    x = np.array([[float(v in i) for v in chain.vocabulary] for i in ids])
+    bad = y == 1
+    more = x[bad].mean(axis=0) > x[~bad].mean(axis=0)
+    kind = np.full(len(y), -1)
+    kind[bad] = toxicity.clusters(x[bad][:, more], 2)
+    assert (kind == 0).sum() >= (kind == 1).sum() > 0
+    for k, label in enumerate([kind == 0, kind == 1, bad]):
+        label = label.astype(float)
+        assert chain.models[k] == pytest.approx(toxicity.fit_logistic(x, label), abs=1e-4)
+        told = np.zeros(len(y))
+        for i in range(5):
+            own = np.arange(len(y)) % 5 == i
+            told[own] = toxicity.predict(x[own], toxicity.fit_logistic(x[~own], label[~own]))
+        fitted = toxicity.predict(x, chain.models[k])
+        assert toxicity.out_of_fold(x, label, 5, chain.models[k]) == pytest.approx(told, abs=1e-4) and np.abs(told - fitted).max() > 0.05
+        x = np.hstack([x, told[:, None]])
+    assert toxicity.THRESHOLDS[0] <= chain.threshold <= toxicity.THRESHOLDS[1]
+
+
+def test_chain_scores_by_brute_force(spark, docs):
+    """Probabilities from words, beginnings and weights, one text at a time."""
+    hash_of = lambda w: int(words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0])
+
+    def beginning(w):
+        h = np.array([7], np.uint64)
+        for c in w[: toxicity.PREFIX]:
+            h = mix(h + np.uint64(c))
+        return int(h[0])
+
+    def features(t):
+        raw = "".join(chr(c + 32) if 65 <= c <= 90 else " " if 33 <= c < 127 and not chr(c).isalnum() else chr(c) for c in (t or "").encode())
+        found = [w.encode("latin-1") for w in WORD.findall(raw)]
+        return {hash_of(w) for w in found} | {beginning(w) for w in found if len(w) > toxicity.PREFIX}
+
+    r = np.random.default_rng(8)
+    every = sorted({f for _, t in corpus() for f in features(t)})
+    vocabulary = np.array(every[:: max(1, len(every) // 40)], np.uint64)
+    chain = toxicity.Chain(["kind_1", "toxic"], vocabulary, [r.normal(size=len(vocabulary) + 1 + k) for k in range(2)], 0.4)
+    for row in toxicity.score_toxicity(docs, chain).select("text", "_toxicity.*").collect():
+        x = [float(int(v) in features(row.text)) for v in vocabulary]
+        for name, w in zip(chain.names, chain.models):
+            p = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, w)) + w[-1])))
+            assert row[f"p_{name}"] == pytest.approx(p, abs=1e-9)
+            x.append(p)
+        assert row.rejected == (x[-1] >= 0.4)
 
 
 def brute_classes(rows, n=5, threshold=0.8):
@@ -423,11 +477,13 @@ def brute_classes(rows, n=5, threshold=0.8):
     return [(i, least[find(where[t])] if sets[where[t]] else key(i), links[where[t]]) for i, t in rows]
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 2, "depth": 2}])
-def test_jaccard_join(spark, docs, empty, monkeypatch, how):
+@pytest.mark.parametrize("how, broadcast", [({}, 9), ({"small": 2, "depth": 2}, 10_000), ({"small": 2, "depth": 3}, 0)])
+def test_jaccard_join(spark, docs, empty, monkeypatch, how, broadcast):
     if how:
         monkeypatch.setattr(jaccard_join, "PART", 6)
         monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 9)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PATHS", broadcast)
     r = random.Random(6)
     rows = corpus()
     for k in range(60):  # a large group of near copies
@@ -463,7 +519,55 @@ def test_keep_one_of_each_by_component(spark):
 
 
 def test_runs():
-    assert [jaccard_join.runs_needed(0.9, 1), jaccard_join.runs_needed(0.9999, 3)] == [3, 20]
+    assert [jaccard_join.runs_needed(0.9, 1), jaccard_join.runs_needed(0.999, 3)] == [3, 10]
+    splits = [r for _ in range(20_000) for r in [1]]
+    r = random.Random(2)
+
+    def meets(level):
+        k, limit = 0, np.exp(-(1.0 if level == 1 else jaccard_join.BRANCH))
+        p = r.random()
+        while p > limit:
+            k, p = k + 1, p * r.random()
+        return k > 0 if level == 3 else any([meets(level + 1) for _ in range(k)])
+
+    assert sum(meets(1) for _ in splits) / len(splits) == pytest.approx(jaccard_join.survival(3), abs=0.02)
+
+
+def test_alike():
+    """Components of the pairs that agree, against all pairs."""
+    r = np.random.default_rng(4)
+    for n in (2, 30, 90):
+        base = r.integers(0, 256, (4, jaccard_join.BINS)).astype(np.uint8)
+        sig = base[r.integers(0, 4, n)].copy()
+        change = r.random(sig.shape) < r.choice([0.1, 0.25, 0.4], (n, 1))
+        sig[change] = r.integers(0, 256, int(change.sum()))
+        up = list(range(n))
+        find = lambda i: i if up[i] == i else find(up[i])
+        for i in range(n):
+            for j in range(i):
+                either = (sig[i] > 0) | (sig[j] > 0)
+                if ((sig[i] == sig[j]) & (sig[i] > 0)).sum() >= jaccard_join.LIKELY * either.sum():
+                    a, b = find(i), find(j)
+                    up[max(a, b)] = min(a, b)
+        assert jaccard_join.alike(sig).tolist() == [find(i) for i in range(n)]
+
+
+def test_in_common():
+    r = np.random.default_rng(5)
+    for n, kinds in ((3, 5), (40, 200), (130, 60)):
+        has = r.random((n, kinds)) < r.choice([0.02, 0.3, 0.9], kinds)
+        token, holder = np.nonzero(has.T)
+        many = np.bincount(token, minlength=kinds)
+        got = jaccard_join.in_common(holder, many[many > 0], n)
+        assert (np.triu(np.rint(got), 1) == np.triu(has.astype(int) @ has.T.astype(int), 1)).all()
+
+
+def test_many_short_texts_alike_but_not_near(spark):
+    """A group of texts that share less than half of their shingles: no links, whatever its size."""
+    shared = " ".join(f"w{k}" for k in range(14))
+    t = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.concat(F.lit("x"), F.col("id"), F.lit("_"), k)), " ")).alias("text"))
+    out = jaccard_join.near_duplicates(t)
+    assert out.where("n_links = 0 and class_id = doc_id").count() == 6000
 
 
 def test_mixing(spark, docs, empty):
