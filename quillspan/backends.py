@@ -16,25 +16,21 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .functions.jsonx import ENTITY_TYPES
-
-
-@dataclass(frozen=True)
-class BackendConfig:
-    provider: str = "openai"
-    model: str = "gpt-4o-mini"
-    temperature: float = 0.0
-    max_tokens: int = 1500
-    timeout: int = 60
-    json_mode: bool = True
+from .session import cut
 
 
 class Backend(Protocol):
     def generate(self, system: str, user: str) -> str: ...
 
 
+class StageFailed(RuntimeError):
+    """A stage that was to be strict has a row without an accepted reply."""
+
+
 #: What each stage asks for.
 ASKS: Mapping[str, str] = {
     "entities": "List the entities named in the text as a JSON object {\"entities\": [{\"type\", \"name\", \"mentions\": [{\"start\", \"end\", \"sent_id\"}]}]}. "
@@ -73,19 +69,32 @@ class ReplayBackend:
         return self.replies.get(self.key(system, user), self.default)
 
 
+#: What a chat request asks for unless told otherwise.
+CHAT_SETTINGS = {"model": "gpt-4o-mini", "temperature": 0.0, "max_tokens": 1500, "response_format": {"type": "json_object"}}
+KEY_NAMES = ("OPENAI_KEY", "OPENAI_API_KEY")
+
+
+def named_key(env_file: str = ".env") -> str | None:
+    """The key of the chat service from the environment, else from lines NAME=value of a file."""
+    told = dict(os.environ)
+    if os.path.exists(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            pairs = (line.removeprefix("export ").partition("=") for line in map(str.strip, f) if "=" in line and not line.startswith("#"))
+            told = {k.strip(): v.strip().strip("\"'") for k, _, v in pairs} | told
+    return next((told[k] for k in KEY_NAMES if told.get(k)), None)
+
+
 class ChatBackend:
-    """A chat-completions endpoint over HTTP in JSON mode. Every setting of the configuration is passed on."""
+    """A chat-completions endpoint over HTTP. Keyword arguments change CHAT_SETTINGS; None leaves one out, as response_format=None does JSON mode."""
 
-    def __init__(self, config: BackendConfig = BackendConfig(), api_key: str | None = None, url: str = "https://api.openai.com/v1/chat/completions"):
-        self.config, self.url, self.api_key = config, url, api_key or os.environ.get("OPENAI_KEY") or os.environ.get("OPENAI_API_KEY")
+    def __init__(self, api_key: str | None = None, url: str = "https://api.openai.com/v1/chat/completions", timeout: int = 60, **settings: object):
+        self.url, self.timeout, self.api_key = url, timeout, api_key or named_key()
+        self.settings = {k: v for k, v in (CHAT_SETTINGS | settings).items() if v is not None}
 
     def generate(self, system: str, user: str) -> str:
-        c = self.config
-        body = {"model": c.model, "temperature": c.temperature, "max_tokens": c.max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        if c.json_mode:
-            body["response_format"] = {"type": "json_object"}
+        body = self.settings | {"messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         ask = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"})
-        with urllib.request.urlopen(ask, timeout=c.timeout) as reply:
+        with urllib.request.urlopen(ask, timeout=self.timeout) as reply:
             return json.loads(reply.read())["choices"][0]["message"]["content"] or ""
 
 
@@ -165,7 +174,7 @@ def ask(rows: DataFrame, backend: Backend, build: Callable[[dict], tuple[str, st
     """Adds `reply` and `failure` (why none was accepted) to each row.
 
     `accept` returns what is wrong with a reply, or None; a wrong one is asked for again, `attempts` times in all. Equal
-    prompts of a batch are asked once. Persist the result: computing it anew would ask anew.
+    prompts of a batch are asked once. Computing the result anew would ask anew: settled() writes it down.
     """
     names = rows.columns
 
@@ -194,3 +203,15 @@ def ask(rows: DataFrame, backend: Backend, build: Callable[[dict], tuple[str, st
 
     schema = StructType([*rows.schema.fields, StructField("reply", StringType()), StructField("failure", StringType())])
     return (rows.repartition(concurrency) if concurrency else rows).mapInArrow(run, schema)
+
+
+def settled(asked: DataFrame, stage: str, key: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ask() gave, written to the shared folder, and its failures as (stage, key, reason, raw).
+
+    Replies are asked for once, whatever is lost later, so that all tables of a run tell the same. `strict` raises StageFailed for a failure.
+    """
+    asked = cut(asked)
+    errors = asked.where("failure is not null").select(F.lit(stage).alias("stage"), key.alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
+    if strict and (bad := errors.limit(1).collect()):
+        raise StageFailed(f"{stage} of {bad[0]['key']}: {bad[0]['reason']}")
+    return asked, errors

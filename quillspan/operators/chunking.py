@@ -1,7 +1,7 @@
 """Chunks and sentences of documents.
 
 split_documents() cuts texts recursively at the separators into chunks of at most `size` characters that overlap by up to
-`overlap`; sentence_index() finds sentence spans in any text column as built-in expressions; chunk_offsets() gives the
+`overlap`; sentence_index() and sentence_spans() find sentence spans in any text column as built-in expressions; chunk_offsets() gives the
 running estimate of a chunk's place, also without Python.
 """
 
@@ -96,40 +96,64 @@ def chunk_offsets(rows: DataFrame, by: Sequence[str], order: str, length: str |
 
 
 def split_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunk_id, doc_id, chunk_no, text, start_idx, end_idx, true_start); null and blank texts have no chunks."""
+    """(chunk_id, doc_id, chunk_no, text, start_idx, end_idx, true_start); null and blank texts have no chunks.
+
+    start_idx and end_idx are those of chunk_offsets(), told where a document is split: nothing is shuffled."""
     pairs = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nos, texts, starts = [], [], [], []
+            out: dict[str, list] = {"doc_id": [], "chunk_no": [], "text": [], "start_idx": [], "end_idx": [], "true_start": []}
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                end = overlap
                 for i, (a, b) in enumerate(split_spans(t or "", size, overlap)):
-                    ids.append(d)
-                    nos.append(i)
-                    texts.append(t[a:b])
-                    starts.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32()), pa.array(texts, pa.string()), pa.array(starts, pa.int32())], ["doc_id", "chunk_no", "text", "true_start"])
+                    start = max(0, end - overlap)
+                    end = start + b - a
+                    for values, value in zip(out.values(), (d, i, t[a:b], start, end, a), strict=True):
+                        values.append(value)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+    found = pairs.mapInArrow(run, "doc_id string, chunk_no int, text string, start_idx int, end_idx int, true_start int")
+    return found.select(F.concat_ws("_", "doc_id", "chunk_no").alias("chunk_id"), "doc_id", "chunk_no", "text", "start_idx", "end_idx", "true_start")
 
-    found = pairs.mapInArrow(run, "doc_id string, chunk_no int, text string, true_start int")
-    placed = chunk_offsets(found, ["doc_id"], "chunk_no", F.length("text"), overlap)
-    return placed.select(F.concat_ws("_", "doc_id", "chunk_no").alias("chunk_id"), "doc_id", "chunk_no", "text", "start_idx", "end_idx", "true_start")
+
+def _parts(text: Column) -> Column:
+    """Boundaries become a control character, which is split at."""
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01", "\ufffd"), "(?U)" + BOUNDARY, "$1\x01")
+    return F.split(marked, "\x01", -1)
 
 
 def sentence_index(rows: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
     """(*by, sent_id, start, end): half-open spans in characters; `by` must name a row.
 
-    Boundaries become a control character, which is split at; the lengths of the parts add up to the spans. A span keeps
-    its leading white space and loses the trailing one; parts of white space only have no number.
+    The lengths of the parts between boundaries add up to the spans. A span keeps its leading white space and loses the trailing
+    one; parts of white space only have no number. sentence_spans() tells the same of short texts in place.
     """
-    marked = F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), "\x01", "�"), "(?U)" + BOUNDARY, "$1\x01")
-    parts = rows.select(*by, F.posexplode(F.split(marked, "\x01", -1)).alias("_k", "_part"))
+    parts = rows.select(*by, F.posexplode(_parts(F.col(text))).alias("_k", "_part"))
     w = Window.partitionBy(*by).orderBy("_k")
     start = F.coalesce(F.sum(F.length("_part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = parts.select(*by, "_k", start.cast("int").alias("start"), (start + F.length(rtrim_ws(F.col("_part")))).cast("int").alias("end")).where(F.col("end") > F.col("start"))
     return spans.select(*by, (F.row_number().over(w) - 1).alias("sent_id"), "start", "end")
 
 
+def sentence_spans(text: Column) -> Column:
+    """The spans of sentence_index() as array<struct<sent_id, start, end>>, for texts as short as chunks: the array grows by copying."""
+    def add(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(rtrim_ws(part))
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.when(end > acc["at"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    spans = F.aggregate(_parts(text), none, add)["spans"]
+    return F.transform(spans, lambda s, i: F.struct(i.alias("sent_id"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def with_sentences(chunks: DataFrame) -> DataFrame:
-    """Adds sent_index (array<struct<sent_id, start, end>>) to chunks; empty where there is no sentence."""
-    spans = sentence_index(chunks, ["chunk_id"]).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "start", "end"))).alias("sent_index"))
-    return chunks.join(spans, "chunk_id", "left").withColumn("sent_index", F.coalesce("sent_index", F.array().cast("array<struct<sent_id:int,start:int,end:int>>")))
+    """Adds sent_index (array<struct<sent_id, start, end>>) to chunks, in place; empty where there is no sentence."""
+    return chunks.withColumn("sent_index", sentence_spans(F.col("text")))
+
+
+def chunks_with_sentences(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks and their sentences in one pass without a shuffle; works on streams too."""
+    return with_sentences(split_documents(docs, size, overlap))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..backends import Backend, ask, prompt
+from ..backends import Backend, ask, prompt, settled
 from ..functions.jsonx import ENTITY_TYPES, parse_entities
 
 
@@ -32,20 +32,27 @@ def check_entities(reply: str, row: dict) -> str | None:
     return None
 
 
+def _build(row: dict) -> tuple[str, str]:
+    return prompt("entities", chunk_id=row["chunk_id"], text=row["text"], sentence_starts=[s["start"] for s in row["sent_index"]])
+
+
 def extract_entities(chunks: DataFrame, backend: Backend, max_retries: int = 2, strict: bool = False, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, errors) from chunks with sent_index. entities: chunk_id, ord, id, type, name, mentions; errors: stage, key, reason, raw."""
 
-    def build(row: dict) -> tuple[str, str]:
-        return prompt("entities", chunk_id=row["chunk_id"], text=row["text"], sentence_starts=[s["start"] for s in row["sent_index"]])
+    asked, errors = settled(ask_entities(chunks, backend, max_retries, concurrency), "entities", F.col("chunk_id"), strict)
+    return entities_from(asked), errors
+
 
-    asked = ask(chunks.select("chunk_id", "text", "sent_index"), backend, build, check_entities, max_retries + 1, concurrency).persist()
-    if strict and (bad := asked.where("failure is not null").limit(1).collect()):
-        raise RuntimeError(f"entities of {bad[0]['chunk_id']}: {bad[0]['failure']}")
+def entities_from(asked: DataFrame) -> DataFrame:
+    """(chunk_id, ord, id, type, name, mentions) of the accepted replies; works on streams too."""
     good = asked.where("failure is null")
     listed = good.select("chunk_id", F.posexplode(parse_entities(F.col("reply"), F.col("text"))).alias("ord", "e"))
-    entities = listed.select("chunk_id", "ord", F.concat(F.col("chunk_id"), F.lit("_e"), F.col("ord")).alias("id"), "e.type", "e.name", "e.mentions")
-    errors = asked.where("failure is not null").select(F.lit("entities").alias("stage"), F.col("chunk_id").alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
-    return entities, errors
+    return listed.select("chunk_id", "ord", F.concat(F.col("chunk_id"), F.lit("_e"), F.col("ord")).alias("id"), "e.type", "e.name", "e.mentions")
+
+
+def ask_entities(chunks: DataFrame, backend: Backend, max_retries: int = 2, concurrency: int | None = None) -> DataFrame:
+    """Chunks with sent_index and what the backend says of their entities: `reply` and `failure`."""
+    return ask(chunks.select("chunk_id", "text", "sent_index"), backend, _build, check_entities, max_retries + 1, concurrency)
 
 
 def entity_table(entities: DataFrame) -> DataFrame:

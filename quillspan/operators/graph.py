@@ -19,8 +19,19 @@ def graph_nodes(entities_canonical: DataFrame, trait_edges: DataFrame) -> DataFr
 def graph_edges(nodes: DataFrame, relations: DataFrame, trait_edges: DataFrame, only_has_trait: bool = False) -> DataFrame:
     """(src, dst, label, title, color, kind, trait_label): parallel edges stay; edges to what is no node go."""
     ids = nodes.select("id")
-    between = lambda df: df.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    rel = relations.select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("type").alias("label"), F.concat(F.col("source_label"), F.format_string(" (conf: %.2f)", F.coalesce("confidence_local", F.lit(0.0)))).alias("title"), F.lit(RELATION_COLOR).alias("color"), F.lit("relation").alias("kind"), F.lit(None).cast("string").alias("trait_label"))
+    columns = ("src", "dst", "label", "title", "color", "kind", "trait_label")
+
+    def between(df: DataFrame) -> DataFrame:
+        return df.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*columns)
+
+    rel = relations.select(
+        F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("type").alias("label"),
+        F.format_string("surface: %s\nconf: %.2f", F.coalesce("source_label", F.lit("")), F.coalesce("confidence_local", F.lit(0.0))).alias("title"),
+        F.lit(RELATION_COLOR).alias("color"), F.lit("relation").alias("kind"), F.lit(None).cast("string").alias("trait_label"),
+    )
     kept = trait_edges.where("label = 'HAS_TRAIT'") if only_has_trait else trait_edges
-    trait = kept.select(F.col("person").alias("src"), F.concat(F.lit("trait::"), "trait").alias("dst"), F.format_string("%.2f/%.2f", "score", "confidence").alias("label"), F.concat(F.lit("n_evidence: "), "n_evidence").alias("title"), F.lit(TRAIT_COLOR).alias("color"), F.lit("trait").alias("kind"), F.col("label").alias("trait_label"))
-    return between(rel).select("src", "dst", "label", "title", "color", "kind", "trait_label").unionByName(between(trait).select("src", "dst", "label", "title", "color", "kind", "trait_label"))
+    trait = kept.select(
+        F.col("person").alias("src"), F.concat(F.lit("trait::"), "trait").alias("dst"), F.format_string("%.2f/%.2f", "score", "confidence").alias("label"),
+        F.concat(F.lit("n_evidence: "), "n_evidence").alias("title"), F.lit(TRAIT_COLOR).alias("color"), F.lit("trait").alias("kind"), F.col("label").alias("trait_label"),
+    )
+    return between(rel).unionByName(between(trait))

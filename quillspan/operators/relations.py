@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..backends import Backend, ask, prompt
+from ..backends import Backend, ask, prompt, settled
 from ..functions.jsonx import json_slice
 from ..functions.text import slug, trim_ws
 
@@ -68,7 +68,7 @@ def events_from(items: DataFrame, coref: DataFrame) -> DataFrame:
     return out.join(lists.select("id", F.transform("l", lambda x: x["p"]).alias("participants_global")), "id", "left")
 
 
-def extract_relations(chunks: DataFrame, entities: DataFrame, coref: DataFrame, backend: Backend, attempts: int = 1, concurrency: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_relations(chunks: DataFrame, entities: DataFrame, coref: DataFrame, backend: Backend, attempts: int = 1, concurrency: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(relations, events, errors). Replies without JSON have no items; malformed ones become errors."""
     listed = entities.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "name", "type", "mentions"))).alias("listed"))
     rows = chunks.select("chunk_id", F.struct("doc_id", "chunk_no").alias("chunk_ord"), "text").join(listed, "chunk_id", "left")
@@ -88,8 +88,7 @@ def extract_relations(chunks: DataFrame, entities: DataFrame, coref: DataFrame,
         except ValueError as e:
             return f"malformed: {e}"
 
-    asked = ask(rows, backend, build, check, attempts, concurrency).drop("listed").persist()
+    asked, errors = settled(ask(rows, backend, build, check, attempts, concurrency).drop("listed"), "relations", F.col("chunk_id"), strict)
     parsed = asked.where("failure is null").select("chunk_id", "chunk_ord", F.length("text").alias("length"), F.from_json(json_slice(F.col("reply")), REPLY).alias("r"))
     item = lambda f: parsed.select("chunk_id", "chunk_ord", "length", F.posexplode(f"r.{f}").alias("pos", "i")).select("chunk_id", "chunk_ord", "length", "pos", "i.*")
-    errors = asked.where("failure is not null").select(F.lit("relations").alias("stage"), F.col("chunk_id").alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
     return relations_from(item("relations"), coref), events_from(item("events"), coref), errors

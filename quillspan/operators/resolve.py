@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..backends import Backend, ask, prompt
-from ..functions.text import name_similarity, normalize_name
+from ..backends import Backend, ask, prompt, settled
+from ..functions.text import name_similarity, normalize_name, token_jaccard, tokens, trim_ws
+from ..session import cut
 from .components import components
+from .numbering import numbered
 
 HIGH, LOW, ACCEPT, CONTEXT = 0.93, 0.40, 0.6, 80
 
@@ -29,11 +31,29 @@ def exact_edges(mentions: DataFrame, merge_empty: bool = True) -> DataFrame:
     return (out if merge_empty else out.where("norm != ''")).select("a", F.col("mid").alias("b"))
 
 
-def band_pairs(mentions: DataFrame) -> DataFrame:
-    """(type, a_norm, b_norm): pairs of distinct names of a block, each once. Mentions of one name are merged beforehand, so names are paired and not mentions."""
+def band_pairs(mentions: DataFrame, salts: int = 8) -> DataFrame:
+    """(type, a_norm, b_norm): pairs of distinct names of a block, each once. Mentions of one name are merged beforehand, so names are paired and not mentions.
+
+    All pairs of a block are what is asked for, so their number grows with its square; each block is dealt over `salts` keys.
+    candidate_pairs() gives those that can score above 0.40, which is all that resolution needs."""
     names = mentions.where("norm != ''").select("type", "norm", F.substring("norm", 1, 1).alias("band")).distinct()
-    b = names.select("type", "band", F.col("norm").alias("b_norm"))
-    return names.withColumnRenamed("norm", "a_norm").join(b, ["type", "band"]).where("a_norm < b_norm").select("type", "a_norm", "b_norm")
+    a = names.withColumn("salt", F.pmod(F.xxhash64("norm"), F.lit(salts)).cast("int")).withColumnRenamed("norm", "a_norm")
+    b = names.select("type", "band", F.col("norm").alias("b_norm"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return a.join(b, ["type", "band", "salt"]).where("a_norm < b_norm").select("type", "a_norm", "b_norm")
+
+
+def candidate_pairs(mentions: DataFrame, low: float = LOW) -> DataFrame:
+    """The pairs of band_pairs() whose similarity may exceed `low`, which must be the LCS's weight 0.4 or more: such names share a word.
+
+    Names meet at shared words, and a pair counts at the first one only. Their Jaccard similarity and lengths bound the score before any LCS is computed."""
+    names = mentions.where("norm != ''").select("type", "norm").distinct().withColumn("words", F.array_sort(tokens(F.col("norm"))))
+    at = names.select("type", "norm", F.substring("norm", 1, 1).alias("band"), "words", F.explode("words").alias("word"))
+    a = at.select("type", "band", "word", F.col("norm").alias("a_norm"), F.col("words").alias("a_words"))
+    b = at.select("type", "band", "word", F.col("norm").alias("b_norm"), F.col("words").alias("b_words"))
+    first = F.get(F.array_intersect("a_words", "b_words"), F.lit(0)) == F.col("word")
+    lengths = F.least(F.length("a_norm"), F.length("b_norm")) / F.greatest(F.length("a_norm"), F.length("b_norm"))
+    bound = F.lit(0.6) * token_jaccard(F.col("a_norm"), F.col("b_norm")) + F.lit(0.4) * lengths
+    return a.join(b, ["type", "band", "word"]).where((F.col("a_norm") < F.col("b_norm")) & first & (bound > low - 1e-9)).select("type", "a_norm", "b_norm")
 
 
 def route(pairs: DataFrame, high: float = HIGH, low: float = LOW, lcs: Column | None = None) -> DataFrame:
@@ -46,11 +66,11 @@ def snippet(text: Column, mentions: Column, chars: int = CONTEXT) -> Column:
     """The first mention with `chars` characters on either side, on one line; null without a mention or text."""
     first = F.get(mentions, F.lit(0))
     start = F.greatest(F.lit(0), first["start"] - chars)
-    return F.trim(F.replace(F.substring(text, start + 1, F.least(F.length(text), first["end"] + chars) - start), F.lit("\n"), F.lit(" ")))
+    return trim_ws(F.replace(F.substring(text, start + 1, F.least(F.length(text), first["end"] + chars) - start), F.lit("\n"), F.lit(" ")))
 
 
-def adjudicate(pairs: DataFrame, mentions: DataFrame, chunks: DataFrame | None, backend: Backend, max_retries: int = 3, accept: float = ACCEPT, strict: bool = False) -> DataFrame:
-    """(a, b) of ambiguous pairs that the backend takes for the same. A pair of names is asked about once, by its first mentions."""
+def adjudicate(pairs: DataFrame, mentions: DataFrame, chunks: DataFrame | None, backend: Backend, max_retries: int = 3, accept: float = ACCEPT, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of ambiguous pairs that the backend takes for the same, and errors. A pair of names is asked about once, by its first mentions."""
     first = mentions.groupBy("type", "norm").agg(F.min_by(F.struct("mid", "name", "chunk_id", "mentions"), "mid").alias("m"))
     side = lambda p: first.select("type", F.col("norm").alias(f"{p}_norm"), F.col("m").alias(f"{p}_m"))
     rows = pairs.select("type", "a_norm", "b_norm").join(side("a"), ["type", "a_norm"]).join(side("b"), ["type", "b_norm"])
@@ -74,17 +94,18 @@ def adjudicate(pairs: DataFrame, mentions: DataFrame, chunks: DataFrame | None,
         except (ValueError, KeyError, TypeError) as e:
             return f"malformed: {e}"
 
-    asked = ask(rows, backend, build, check, max_retries + 1).persist()
+    asked, errors = settled(ask(rows, backend, build, check, max_retries + 1), "resolution", F.concat_ws(" ", "a_mid", "b_mid"), strict)
     d = F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "struct<same:boolean,confidence:double,rationale:string>")
     # A pair without an accepted reply stays apart.
-    return asked.where("failure is null").withColumn("d", d).where(F.col("d.same") & (F.col("d.confidence") >= accept)).select(F.col("a_mid").alias("a"), F.col("b_mid").alias("b"))
+    same = asked.where("failure is null").withColumn("d", d).where(F.col("d.same") & (F.col("d.confidence") >= accept))
+    return same.select(F.col("a_mid").alias("a"), F.col("b_mid").alias("b")), errors
 
 
 def canonical_entities(mentions: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(entities_canonical, coref): id, type, name, aliases, members; and mid, canonical_id.
 
     The name of a class is its most frequent one, then the longest, then the earliest. Ids are ranks of the least members in
-    string order; the rank runs over one row per class.
+    string order, told range by range.
     """
     if edges is not None and edges.limit(1).count():
         rooted = mentions.join(components(edges), F.col("mid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "mid"))
@@ -94,20 +115,22 @@ def canonical_entities(mentions: DataFrame, edges: DataFrame | None) -> tuple[Da
     best = Window.partitionBy("root").orderBy(F.col("n").desc(), F.length("name").desc(), "first")
     names = by_name.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("root", F.col("name").alias("best"))
     classes = rooted.groupBy("root").agg(F.min_by("type", "mid").alias("type"), F.array_sort(F.collect_set("name")).alias("aliases"), F.array_sort(F.collect_list("mid")).alias("members"))
-    ids = classes.select("root").withColumn("id", F.concat(F.lit("ent_"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("root")) - 1))
+    ids = numbered(classes.select("root"), "root").select("root", F.concat(F.lit("ent_"), "number").alias("id"))
     canonical = classes.join(names, "root").join(ids, "root").select("id", "type", F.col("best").alias("name"), "aliases", "members")
     coref = rooted.select("mid", "root").join(ids, "root").select("mid", F.col("id").alias("canonical_id"))
     return canonical, coref
 
 
-def resolve_entities(entities: DataFrame, chunks: DataFrame | None = None, backend: Backend | None = None, high: float = HIGH, low: float = LOW, max_retries: int = 3, merge_empty: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The whole stage; without a backend ambiguous pairs stay apart."""
-    mentions = mentions_of(entities).persist()
+def resolve_entities(entities: DataFrame, chunks: DataFrame | None = None, backend: Backend | None = None, high: float = HIGH, low: float = LOW, max_retries: int = 3, merge_empty: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole stage: (entities_canonical, coref, errors). Without a backend ambiguous pairs stay apart; `strict` raises if it fails for one."""
+    mentions = cut(mentions_of(entities))
     edges = exact_edges(mentions, merge_empty)
-    pairs = route(band_pairs(mentions), high, low).persist()
+    pairs = cut(route(candidate_pairs(mentions, low) if low >= 0.4 else band_pairs(mentions), high, low))
     first = mentions.groupBy("type", "norm").agg(F.min("mid").alias("mid"))
     side = lambda p: first.select("type", F.col("norm").alias(f"{p}_norm"), F.col("mid").alias(p))
     edges = edges.union(pairs.where("route = 'merge'").join(side("a"), ["type", "a_norm"]).join(side("b"), ["type", "b_norm"]).select("a", "b"))
+    errors = mentions.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in ("stage", "key", "reason", "raw")])
     if backend is not None:
-        edges = edges.union(adjudicate(pairs.where("route = 'ambiguous'"), mentions, chunks, backend, max_retries))
-    return canonical_entities(mentions, edges)
+        same, errors = adjudicate(pairs.where("route = 'ambiguous'"), mentions, chunks, backend, max_retries, strict=strict)
+        edges = edges.union(same)
+    return *canonical_entities(mentions, edges), errors

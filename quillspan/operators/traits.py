@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..backends import Backend, ask, prompt
+from ..backends import Backend, ask, prompt, settled
 from ..functions.jsonx import json_slice
 
 WINDOW, METHOD_PRIOR, CONTEXT_QUALITY = 1, 0.70, 0.90
@@ -59,7 +59,7 @@ def to_evidence(parsed: DataFrame, method_prior: float = METHOD_PRIOR, context_q
     return rows.select(F.col("canonical_id").alias("person"), "trait", s.alias("s"), (F.lit(method_prior) * F.lit(context_quality)).alias("c"), span.alias("span"), F.array(F.lit("llm")).alias("method"), F.lit(None).cast("string").alias("rationale"), F.struct("chunk_id", "sent_id_center", "trait").alias("ord"))
 
 
-def extract_traits(windows: DataFrame, backend: Backend, attempts: int = 1, dedupe: bool = False, **how) -> tuple[DataFrame, DataFrame]:
+def extract_traits(windows: DataFrame, backend: Backend, attempts: int = 1, dedupe: bool = False, strict: bool = False, **how) -> tuple[DataFrame, DataFrame]:
     """(evidence, errors). With `dedupe` equal windows of overlapping chunks count once."""
 
     def build(r: dict) -> tuple[str, str]:
@@ -78,7 +78,6 @@ def extract_traits(windows: DataFrame, backend: Backend, attempts: int = 1, dedu
         return None
 
     rows = windows.dropDuplicates(["canonical_id", "text"]) if dedupe else windows
-    asked = ask(rows, backend, build, check, attempts).persist()
+    asked, errors = settled(ask(rows, backend, build, check, attempts), "traits", F.concat_ws(":", "chunk_id", "canonical_id"), strict)
     parsed = asked.where("failure is null").withColumn("r", F.from_json(json_slice(F.col("reply")), REPLY))
-    errors = asked.where("failure is not null").select(F.lit("traits").alias("stage"), F.concat_ws(":", "chunk_id", "canonical_id").alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
     return to_evidence(parsed, **how), errors

@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from ..backends import Backend, RulesBackend
 from ..operators import chunking, extract, graph, reduce as reducers, relations, resolve, traits
+from ..session import cut
 
+log = logging.getLogger("quillspan")
 
-def run_pipeline(docs: DataFrame, backend: Backend | None = None, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, concurrency: int | None = None, event_key: str = "local", key_polarity: bool = False, dedupe: bool = False, use_negation: bool = False, only_has_trait: bool = False) -> dict[str, DataFrame]:
-    """The tables of every stage by name. Stages that ask the backend are persisted when they first run, so that no reply is asked for twice."""
+
+def run_pipeline(
+    docs: DataFrame, backend: Backend | None = None, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, concurrency: int | None = None, event_key: str = "local",
+    key_polarity: bool = False, dedupe: bool = False, use_negation: bool = False, only_has_trait: bool = False, strict: bool = False,
+) -> dict[str, DataFrame]:
+    """The tables of every stage by name.
+
+    Chunks, replies and resolved ids are written to the shared folder when a stage ends, so that no reply is asked for twice and all
+    tables tell the same; each end is logged. Rows without an accepted reply are rows of `errors`; with `strict` the first one raises StageFailed.
+    """
     backend = backend or RulesBackend()
-    chunks = chunking.with_sentences(chunking.split_documents(docs, size, overlap)).persist()
-    entities, errors1 = extract.extract_entities(chunks, backend, concurrency=concurrency)
-    canonical, coref = resolve.resolve_entities(entities, chunks, backend)
-    coref = coref.persist()
-    rels, events, errors2 = relations.extract_relations(chunks, entities, coref, backend, concurrency=concurrency)
-    windows, errors3 = traits.person_windows(traits.persons_in_chunks(entities, coref), chunks)
-    evidence, errors4 = traits.extract_traits(windows, backend, dedupe=dedupe, use_negation=use_negation)
+    began = time.monotonic()
+
+    def done(stage: str) -> None:
+        log.info("%s done after %.1f s", stage, time.monotonic() - began)
+
+    chunks = cut(chunking.chunks_with_sentences(docs, size, overlap))
+    done("chunks")
+    entities, errors1 = extract.extract_entities(chunks, backend, strict=strict, concurrency=concurrency)
+    done("entities")
+    canonical, coref, errors2 = resolve.resolve_entities(entities, chunks, backend, strict=strict)
+    canonical, coref = cut(canonical), cut(coref)
+    done("resolution")
+    rels, events, errors3 = relations.extract_relations(chunks, entities, coref, backend, concurrency=concurrency, strict=strict)
+    done("relations and events")
+    windows, errors4 = traits.person_windows(traits.persons_in_chunks(entities, coref), chunks)
+    evidence, errors5 = traits.extract_traits(windows, backend, dedupe=dedupe, use_negation=use_negation, strict=strict)
+    done("traits")
     fused = reducers.fuse_relations(rels, key_polarity=key_polarity)
     fused_events = reducers.fuse_events(events, participants="participants_global" if event_key == "global" else "participants")
     trait_edges = reducers.beta_posterior(evidence)
     nodes = graph.graph_nodes(canonical, trait_edges)
     edges = graph.graph_edges(nodes, fused, trait_edges, only_has_trait)
-    errors = reduce(DataFrame.unionByName, [errors1, errors2, errors3, errors4])
-    return {"chunks": chunks, "entities": entities, "entities_canonical": canonical, "coref": coref, "relations": rels, "events": events, "windows": windows, "evidence": evidence, "relations_fused": fused, "events_fused": fused_events, "trait_edges": trait_edges, "nodes": nodes, "edges": edges, "errors": errors}
+    errors = reduce(DataFrame.unionByName, [errors1, errors2, errors3, errors4, errors5])
+    return {
+        "chunks": chunks, "entities": entities, "entities_canonical": canonical, "coref": coref, "relations": rels, "events": events, "windows": windows, "evidence": evidence,
+        "relations_fused": fused, "events_fused": fused_events, "trait_edges": trait_edges, "nodes": nodes, "edges": edges, "errors": errors,
+    }

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): a row for each file; the id is the file's name without its extension, line ends become newlines."""
-    rows = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    return rows.select(name.alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+def read_text_documents(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(doc_id, text): a row for each file; the id is the file's name without its extension, line ends become newlines.
+
+    `encoding` is one that the JVM decodes: UTF-8, UTF-16, ISO-8859-1, windows-1252 and so on."""
+    rows = spark.read.format("binaryFile").load(path)  # `path` names files as they are; metadata columns would escape them
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return rows.select(name.alias("doc_id"), F.regexp_replace(F.decode("content", encoding), "\r\n?", "\n").alias("text"))
 
 
 def read_table_documents(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

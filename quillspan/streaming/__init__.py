@@ -1,10 +1,24 @@
-"""Streaming forms of the stateless stages and of the trait sums."""
+"""Streaming forms: chunks and entities of a stream of documents without state, and running trait sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..backends import Backend
+from ..operators import chunking, extract
+
+
+def stream_chunks(docs: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> DataFrame:
+    """Chunks with sent_index of a stream of documents: each document by itself, no state."""
+    return chunking.chunks_with_sentences(docs, size, overlap)
+
+
+def stream_entities(chunks: DataFrame, backend: Backend, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(entities, errors) of a stream of chunks. A batch that is run again after a failure asks again."""
+    asked = extract.ask_entities(chunks, backend, max_retries)
+    return extract.entities_from(asked), asked.where("failure is not null").select(F.lit("entities").alias("stage"), F.col("chunk_id").alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
+
 
 def stream_trait_sums(evidence: DataFrame, time: str = "ts", delay: str = "1 hour", window: str | None = None) -> DataFrame:
     """Running (person, trait, s_sum, c_sum, n_evidence) of a stream of evidence, per event-time window if one is given.

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.backends import ReplayBackend, RulesBackend, prompt, prompt_inputs
+from quillspan.backends import ChatBackend, ReplayBackend, RulesBackend, StageFailed, named_key, prompt, prompt_inputs
 from quillspan.functions import jsonx, text as tx
 from quillspan.operators import chunking, components, extract, graph, reduce, relations, resolve, traits
+from quillspan.operators.numbering import numbered
 from quillspan.plans.pipeline import run_pipeline
 from quillspan.sources.documents import draw_html, read_text_documents, write_graph
 
@@ -77,16 +78,78 @@ def entities(spark, rows):
 def test_resolution(spark):
     rows = [("d_0", "Person", "Mr. Krabs"), ("d_0", "Person", "Eugene Krabs"), ("d_1", "Person", "mr krabs"), ("d_1", "Org", "Mr. Krabs"), ("d_0", "Person", "!!!"), ("d_1", "Person", "???"), ("d_0", "Person", "patrick"), ("d_1", "Person", "patrick star")]
     same = ReplayBackend(lambda stage, given: '{"same": true, "confidence": 0.9}')
-    canonical, coref = resolve.resolve_entities(entities(spark, rows), None, same)
+    canonical, coref, errors = resolve.resolve_entities(entities(spark, rows), None, same)
+    assert errors.count() == 0
     classes = {frozenset(int(m.rpartition("e")[2]) for m in r.members) for r in canonical.collect()}
     assert classes == {frozenset({0, 2}), frozenset({1}), frozenset({3}), frozenset({4, 5}), frozenset({6, 7})}
     assert coref.count() == len(rows)
-    canonical, _ = resolve.resolve_entities(entities(spark, rows).repartition(7), merge_empty=False)
+    canonical = resolve.resolve_entities(entities(spark, rows).repartition(7), merge_empty=False)[0]
     assert canonical.count() == 7
     unsure = ReplayBackend(lambda stage, given: '{"same": true, "confidence": 0.5}')
     assert resolve.resolve_entities(entities(spark, rows), None, unsure)[0].count() == 6
 
 
+def down(stage):
+    """A backend that fails in one stage; local, so that workers get it by value."""
+
+    class Down:
+        def generate(self, system, user):
+            if f"Stage: {stage}." in system:
+                raise OSError("down")
+            return RulesBackend().generate(system, user)
+
+    return Down()
+
+
+STORY = "Mr. Harold Finch worked with Ann Perry. Ann Perry helped Ann Perry Jones plan the party.\n\nShe laughed with Harold Finch Stone. Dr. Ann Perry worried. " * 3
+
+
+@pytest.mark.parametrize("stage, told", [("entities", "entities"), ("same", "resolution"), ("relations", "relations"), ("traits", "traits")])
+def test_failures_become_errors_or_raise(spark, stage, told):
+    docs = spark.createDataFrame([("a", STORY)], "doc_id string, text string")
+    out = run_pipeline(docs, down(stage), size=300, overlap=100)
+    errors = out["errors"].collect()
+    assert errors and {r.stage for r in errors} == {told} and all("down" in r.reason for r in errors)
+    assert run_pipeline(docs, size=300, overlap=100)["errors"].count() == 0
+    with pytest.raises(StageFailed, match=told):
+        run_pipeline(docs, down(stage), size=300, overlap=100, strict=True)
+
+
+def test_candidate_pairs_lose_no_score_above_the_bound(spark):
+    r = random.Random(3)
+    parts = ["ann", "anna", "a", "al", "perry", "pen", "jones", "de", "la", "o"]
+    rows = [("d_0", "Person", " ".join(r.choice(parts) for _ in range(r.randint(1, 4)))) for _ in range(80)]
+    m = resolve.mentions_of(entities(spark, rows))
+    score = lambda df: {(x.a_norm, x.b_norm) for x in resolve.route(df).where("route != 'reject'").collect()}
+    every, few = resolve.band_pairs(m), resolve.candidate_pairs(m)
+    assert score(every) == score(few) and few.count() == few.distinct().count() < every.count()
+    norms = sorted({x.norm for x in m.collect()})
+    assert sorted(map(tuple, every.select("a_norm", "b_norm").collect())) == [(x, y) for i, x in enumerate(norms) for y in norms[i + 1 :] if x[0] == y[0]]
+
+
+def test_numbers(spark):
+    got = {x.v: x.number for x in numbered(spark.range(500).select((F.col("id") * 7 % 500).alias("v")).repartition(6), "v").collect()}
+    assert got == {v: v for v in range(500)}
+    assert numbered(spark.range(0).withColumnRenamed("id", "v"), "v").count() == 0
+
+
+def test_sentences_in_place(spark):
+    texts = ["A b. C d!  E\n\nF  ", "", None, " \n\n x", "Mr. Krabs ran.” He \u2028fell? yes", "no end", "é. ü! \x01 y."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    want = {}
+    for r in chunking.sentence_index(rows, ["k"]).orderBy("k", "sent_id").collect():
+        want.setdefault(r.k, []).append((r.sent_id, r.start, r.end))
+    assert {r.k: [tuple(s) for s in r.sent_index] for r in chunking.with_sentences(rows).collect()} == {k: want.get(k, []) for k in range(len(texts))}
+
+
+def test_chunk_places(spark):
+    docs = spark.createDataFrame([("a", STORY * 5), ("b", "x" * 40)], "doc_id string, text string")
+    chunks = chunking.split_documents(docs, 100, 40)
+    by_window = chunking.chunk_offsets(chunks.drop("start_idx", "end_idx"), ["doc_id"], "chunk_no", F.length("text"), 40)
+    columns = ["chunk_id", "start_idx", "end_idx"]
+    assert sorted(map(tuple, chunks.select(columns).collect())) == sorted(map(tuple, by_window.select(columns).collect()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -178,7 +241,7 @@ def test_graph_and_sinks(spark, tmp_path):
     nodes = graph.graph_nodes(canonical, te)
     edges = graph.graph_edges(nodes, rel, te)
     assert nodes.count() == 2 and edges.count() == 3
-    assert {r.title for r in edges.collect()} == {"Likes (conf: 0.70)", "n_evidence: 2"}
+    assert {(r.label, r.title) for r in edges.collect()} == {("likes", "surface: Likes\nconf: 0.70"), ("0.70/0.80", "n_evidence: 2")}
     page = draw_html(nodes, edges, str(tmp_path / "g.html"))
     assert "Ann" in open(page).read()
     with pytest.raises(ValueError):
@@ -208,3 +271,61 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     r = beta_of_sums(spark.table("sums")).orderBy(F.col("n_evidence").desc()).first()
     assert round(r.score, 6) == 0.693252 and r.n_evidence == 2
+
+
+def test_file_names_and_encodings(spark, tmp_path):
+    (tmp_path / "my störy.v1.txt").write_bytes("Größe\r\nx".encode("iso-8859-1"))
+    (tmp_path / "plain").write_bytes("Größe\rx".encode("iso-8859-1"))
+    assert {r.doc_id: r.text for r in read_text_documents(spark, str(tmp_path), "ISO-8859-1").collect()} == {"my störy.v1": "Größe\nx", "plain": "Größe\nx"}
+
+
+def test_snippet_loses_white_space(spark):
+    m = F.array(F.struct(F.lit(3).alias("start"), F.lit(4).alias("end"), F.lit(0).alias("sent_id")))
+    assert one(spark, resolve.snippet(F.lit("\t\n\u2003x y\x1f\t "), m)) == "x y"
+
+
+def test_chat_settings(tmp_path, monkeypatch):
+    for name in ("OPENAI_KEY", "OPENAI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    env = tmp_path / "env"
+    env.write_text("# keys\nOTHER=1\nexport OPENAI_KEY='abc'\n")
+    assert named_key(str(env)) == "abc" and named_key(str(tmp_path / "none")) is None
+    monkeypatch.setenv("OPENAI_KEY", "own")
+    assert named_key(str(env)) == "own"
+    b = ChatBackend("k", max_tokens=9, response_format=None)
+    assert b.settings == {"model": "gpt-4o-mini", "temperature": 0.0, "max_tokens": 9} and b.timeout == 60
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from quillspan import __main__ as cli
+
+    (tmp_path / "a story.txt").write_text(STORY)
+    monkeypatch.setattr(cli, "build_session", lambda master: spark)
+    cli.main([str(tmp_path / "a story.txt"), "--out", str(tmp_path / "g"), "--format", "json", "--html", str(tmp_path / "g.html")])
+    assert spark.read.json(str(tmp_path / "g" / "edges")).count() > 0 and "Harold Finch" in (tmp_path / "g.html").read_text()
+
+
+def test_stream_of_documents(spark, tmp_path):
+    from quillspan.streaming import stream_chunks, stream_entities
+
+    docs = spark.createDataFrame([("a", STORY), ("b", None)], "doc_id string, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    entities, errors = stream_entities(stream_chunks(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), 300, 100), RulesBackend())
+    for name, df in (("streamed", entities), ("failed", errors)):
+        df.writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination(60)
+    batch = run_pipeline(docs, size=300, overlap=100)["entities"]
+    assert sorted(r.id for r in spark.table("streamed").collect()) == sorted(r.id for r in batch.collect()) != [] and spark.table("failed").count() == 0
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from quillspan import session
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(Session())
