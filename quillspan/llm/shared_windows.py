@@ -7,7 +7,8 @@ run of consecutive windows of a text that share an anchor's hash. So windows nee
 2. a bucket returns to each block which of its anchors occur in another document,
 3. blocks send the contexts of such anchors, each distinct one once with its smallest doc_id, to buckets by the anchor's hash,
 4. in a bucket a matcher (a Burrows-Wheeler transform, suffix trees) finds each context's windows that a document
-   with a smaller id holds,
+   with a smaller id holds; contexts that are the only ones of their anchor need none, and the others are matched in collections of
+   about COLLECTION bytes, by anchor,
 5. blocks cut out what the found windows cover.
 
 No group is ever gathered that grows with the copies of one text: a block sends an anchor and a context once however
@@ -36,6 +37,8 @@ BLOCK = 8_000_000
 SENT = np.uint64((1 << 48) - 1)
 #: Windows that a context has at most; longer runs (as of one letter) are cut.
 LONGEST = 1024
+#: Bytes of contexts that a matcher gets at a time: its arrays stay in the caches.
+COLLECTION = 200_000
 
 
 class Sequences:
@@ -185,7 +188,7 @@ def remove_shared(
         return pa.table({"_block": table.column("block"), "h": pa.array([pack(h[i - m : i][found[i - m : i]], 6) for i, m in zip(ends, n, strict=True)], pa.binary())})
 
     def send_contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "at": [], "sizes": [], "data": []}
+        out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "at": [], "keys": [], "sizes": [], "data": []}
         if left.num_rows and right.num_rows:
             _, seq, ids = load(left)
             first, n, h, of = runs(seq, length, k)
@@ -209,32 +212,46 @@ def remove_shared(
                 out["block"].append(key[0].as_py())
                 out["ids"].append(pack(ids[of[own]].astype(np.int64)))
                 out["at"].append(pack(first[own]))
+                out["keys"].append(pack(h[own], 3))
                 out["sizes"].append(pack(np.append([len(data[x]) for x in part], n[own]).astype(np.int32)))
                 out["data"].append(b"".join([data[x] for x in part]))
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "at", "keys", "sizes", "data")]]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: dict[bytes, int] = {}
         least: list[int] = []
+        anchor: list[int] = []
         seen: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for block, ids, at, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "at", "sizes", "data")), strict=True):
-                ids, at, sizes = unpack(ids, np.int64), unpack(at, np.int64), unpack(sizes, np.int32)
+            for block, ids, at, keys, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "at", "keys", "sizes", "data")), strict=True):
+                ids, at, keys, sizes = unpack(ids, np.int64), unpack(at, np.int64), unpack(keys, np.uint64, 3), unpack(sizes, np.int32)
                 size, n = sizes[: len(ids)], sizes[len(ids) :]
                 numbers = np.empty(len(ids), np.int64)
                 end = 0
-                for x, (i, m) in enumerate(zip(ids.tolist(), size.tolist(), strict=True)):
+                for x, (i, key, m) in enumerate(zip(ids.tolist(), keys.tolist(), size.tolist(), strict=True)):
                     c = data[end : end + m]
                     end += m
                     number = where.setdefault(c, len(least))
                     if number == len(least):
                         least.append(i)
+                        anchor.append(key)
                     elif i < least[number]:
                         least[number] = i
                     numbers[x] = number
                 seen.append((block, ids, at, n, numbers))
         smallest = np.array(least, np.int64)
-        found = np.array(matcher(list(where), smallest), np.int64).reshape(-1, 3)
+        contexts = list(where)
+        # Some bits of the anchors' hashes tell them apart well enough: a collision only matches more.
+        _, kind, many = np.unique(np.array(anchor, np.int64), return_inverse=True, return_counts=True)
+        several = many[kind] > 1
+        collections = 1 + sum(len(contexts[x]) for x in np.flatnonzero(several).tolist()) // COLLECTION
+        hits = [np.zeros((0, 3), np.int64)]
+        for k in range(collections):
+            own = np.flatnonzero(several & (kind % collections == k))
+            part = np.array(matcher([contexts[x] for x in own.tolist()], smallest[own]), np.int64).reshape(-1, 3)
+            part[:, 0] = own[part[:, 0]]
+            hits.append(part)
+        found = np.concatenate(hits)
         found = found[np.argsort(found[:, 0], kind="stable")]
         for block, ids, at, n, numbers in seen:
             later = ids > smallest[numbers]
@@ -301,7 +318,7 @@ def remove_shared(
     out_schema = to_arrow_schema(result)
     anchors = base.groupBy("_block").applyInArrow(send_anchors, "bucket int, block int, h binary, multi binary")
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "_block int, h binary")
-    contexts = base.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(send_contexts, "bucket int, block int, ids binary, at binary, sizes binary, data binary")
+    contexts = base.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(send_contexts, "bucket int, block int, ids binary, at binary, keys binary, sizes binary, data binary")
     found = contexts.groupBy("bucket").applyInArrow(match, "_block int, at binary, n binary")
     return base.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(cut_out, result)
 
