@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet to the shared
 checkpoint folder and reads it again, so that a lost executor costs a task and not the run. All but the last stage return
-the columns of documents; n_chars is kept in step with the text.
+the columns of documents; n_chars is kept in step with the text. Further columns of any name pass through them; nulls may stand in any column, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,17 +16,23 @@ from quillspan.llm.common import scratch
 from quillspan.llm.queries import vocabulary
 
 
+def _kept_whole(docs: DataFrame) -> DataFrame:
+    """Each row in one column beside its id and text, so that no column's name can clash with one that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go; null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(docs, toxicity.train_chain(docs, labels))
-    return scored.where(~F.col("_toxicity.rejected")).select(*docs.columns)
+    scored = toxicity.score_toxicity(_kept_whole(docs), toxicity.train_chain(docs, labels))
+    return scored.where(~F.col("_toxicity.rejected")).select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document stays even if nothing of its text does."""
-    out = line_dedup.dedup_lines(docs)
-    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(_kept_whole(docs))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
