@@ -180,9 +180,10 @@ def removed_by_brute(rows, items, n):
     return out
 
 
-@pytest.mark.parametrize("block", [3000, 10_000_000])
-def test_substring_dedup(docs, empty, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(3000, 50), (3000, 2), (2000, 4), (10_000_000, 1)])
+def test_substring_dedup(docs, empty, monkeypatch, block, hot):
     monkeypatch.setattr(shared_windows, "BLOCK", block)
+    monkeypatch.setattr(shared_windows, "HOT", hot)
     spans = lambda g: [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[x] for x in g))]
     as_bytes = lambda t: (t or "").encode()
     as_words = lambda t: WORD.findall(t or "")

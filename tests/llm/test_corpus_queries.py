@@ -152,18 +152,23 @@ def test_merkle_query(spark):
     assert len(set(prints.values())) == len(prints)
 
 
-@pytest.mark.parametrize("change", ["plain", "empty", "nulls"])
+@pytest.mark.parametrize("change", ["plain", "empty", "nulls", "clashes"])
 def test_stages(spark, change):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     if change == "empty":
         docs = docs.limit(0)
     if change == "nulls":
         docs = docs.withColumns({c: F.when(F.col("doc_id") % (k + 3) == 0, None).otherwise(F.col(c)) for k, c in enumerate(docs.columns)}).union(docs.limit(3))
+    if change == "clashes":
+        docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in ("row", "whole", "_id", "_th", "_lines", "_toxicity", "_mix", "_copies", "_once", "ids", "_digest", "root", "v")})
     given = docs.cache()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, given, SF)
         assert out.columns == docs.columns
         out = out.cache()
+        if change == "clashes":
+            own = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert not out.select(own).exceptAll(given.select(own).union(given.select(own))).count()
         if name in ("toxicity", "ngram_jaccard_join"):
             assert not out.exceptAll(given).count()
         if name == "ngram_jaccard_join" and change == "plain":
