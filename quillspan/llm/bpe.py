@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import packed, unpacked, wider
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBER = 100_000
+REMEMBER = 400_000
 #: Pieces that are gathered, and ids that are decoded, at a time.
 GROUP = 200_000
 _CODECS: dict[str, Codec] = {}
@@ -61,29 +61,34 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        """Of each known piece: its number, and by number its first id, how many there are, and the ids and offsets themselves."""
+        """Of each known piece: its number, and by number its first id, how many there are, and the ids and, if told, the offsets themselves."""
         self.known: dict[str, int] = {}
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.spans = np.zeros((0, 2), np.int32)
+        self.spans: np.ndarray | None = None
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str], offsets: bool) -> None:
         """Encodes pieces that aren't known, each by itself."""
         e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+        n = np.bincount(np.array(e.word_ids, np.int32), minlength=len(new))
         self.begin = np.append(self.begin, np.cumsum(n) - n + len(self.ids))
         self.count = np.append(self.count, n)
         self.ids = np.append(self.ids, np.array(e.ids, np.int32))
-        self.spans = np.concatenate([self.spans, np.array(e.offsets, np.int32).reshape(-1, 2)])
+        if offsets:
+            own = np.array(e.offsets, np.int32).reshape(-1, 2)
+            self.spans = own if self.spans is None else np.concatenate([self.spans, own])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def encode(self, pieces: list[str], offsets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Number of tokens of each piece, all ids, and their character offsets in the piece (n x 2)."""
-        new = sorted(set(pieces).difference(self.known))
+        distinct = set(pieces)
+        if offsets and self.spans is None and self.known:
+            self.forget()
+        new = list(distinct.difference(self.known))
         if len(self.known) + len(new) > REMEMBER:
             self.forget()
-            new = sorted(set(pieces))
+            new = list(distinct)
         if new:
-            self.learn(new)
+            self.learn(new, offsets or self.spans is not None)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         many = self.count[at]
         pick = np.repeat(self.begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
