@@ -16,6 +16,7 @@ No table of n-grams is gathered anywhere:
 
 N-grams are told apart by 48 bits of a hash. Null texts and those without words have no tokens: n_tokens 0, the losses and the
 score null, kept false; they count nowhere. Repeated rows count as often as they occur. Null ids are kept and dealt by their text.
+An empty table gives an empty result. A very long text is one row of a block of its own size. Only the id and the text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytes_np import flat, mix, words
 from .common import id_key, text_bytes, text_or_empty
-from .shared_windows import pack, unpack
+from .shared_windows import dealt, pack, undealt, unpack
 
 BLOCK = 5_000_000
 ORDER, MASS = 3, 4.0
@@ -124,10 +125,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: floa
     texts = docs.select(F.col(doc_id), id_key(doc_id).alias("_id"), text_or_empty(text).alias("_text"), F.lit(False).alias("_label"), F.col(doc_id).isNotNull().alias("_named"))
     good = labels.where("quality = 1 and doc_id is not null").select(F.lit(None).cast(docs.schema[doc_id].dataType).alias(doc_id), id_key("doc_id").alias("_id"), F.lit("").alias("_text"), F.lit(True).alias("_label"), F.lit(True).alias("_named"))
     unnamed = F.when(~F.col("_named"), F.col("_text"))
-    base = texts.union(good).withColumn("_block", F.pmod(F.xxhash64("_id", unnamed), F.lit(blocks)).cast("int"))
+    base = dealt(texts.union(good).withColumn("_block", F.pmod(F.xxhash64("_id", unnamed), F.lit(blocks)).cast("int")))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        g = Grams(table)
+        g = Grams(undealt(table))
         wanted = g.target[g.doc]
         out: dict[str, list] = {c: [] for c in ("bucket", "block", "k", "many", "h", "n", "t")}
         for k in range(ORDER):
@@ -157,6 +158,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: floa
         return pa.concat_tables(out)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = undealt(left)
         g = Grams(left)
         rows = left.num_rows
         loss = np.zeros((2, rows))

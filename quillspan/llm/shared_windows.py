@@ -4,7 +4,7 @@ Any two equal windows have the same anchor, the k-gram of the least hash in them
 run of consecutive windows of a text that share an anchor's hash. So windows need comparing only inside an anchor's group of contexts:
 
 1. texts are dealt to blocks of about BLOCK bytes by id; each block sends its distinct anchors to buckets of hashes,
-2. a bucket returns to each block which of its anchors occur in another document,
+2. a bucket returns to each block which of its anchors occur in another document, and which of them HOT blocks or more hold,
 3. blocks send the contexts of such anchors, each distinct one once with its smallest doc_id, to buckets by the anchor's hash,
 4. in a bucket a matcher (a Burrows-Wheeler transform, suffix trees) finds each context's windows that a document
    with a smaller id holds; contexts that are the only ones of their anchor need none, and the others are matched in collections of
@@ -12,11 +12,14 @@ run of consecutive windows of a text that share an anchor's hash. So windows nee
 5. blocks cut out what the found windows cover.
 
 No group is ever gathered that grows with the copies of one text: a block sends an anchor and a context once however
-often it holds them, and later documents of the same block are settled there. The number of blocks and buckets follows the
-bytes of the input, so their size does not. Nothing is dropped, and all comparisons of windows are exact: hashes only propose.
+often it holds them, and later documents of the same block are settled there. The contexts of a hot anchor, which stands in a passage with many
+different neighbours, are split by where the anchor is in a window and by what all such windows have in common, so that they are dealt over many
+buckets. The number of blocks and buckets follows the bytes of the input, so their size does not; a block sends a row to each bucket for which it
+has something, at most one for each anchor. Nothing is dropped, and all comparisons of windows are exact: hashes only propose.
 
 Null texts count as empty. Null ids count as the smallest id. Rows with equal ids never take windows from each other, and
-each repeated row gets its result.
+each repeated row gets its result. An empty table gives an empty result. A very long text is read in pieces, in a block of its own size. Only
+the id and the text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_np import PIECE, flat
+from .bytes_np import PIECE, flat, mix
 from .common import id_key, text_bytes, text_or_empty
 
 BLOCK = 8_000_000
@@ -37,6 +40,8 @@ BLOCK = 8_000_000
 SENT = np.uint64((1 << 48) - 1)
 #: Windows that a context has at most; longer runs (as of one letter) are cut.
 LONGEST = 1024
+#: Blocks that hold an anchor from which its contexts are split, and into how many parts by the anchor's place in a window.
+HOT, PARTS = 50, 5
 #: Bytes of contexts that a matcher gets at a time: its arrays stay in the caches.
 COLLECTION = 200_000
 
@@ -102,6 +107,62 @@ def runs(seq: Sequences, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
     return first, end - first, h, np.searchsorted(seq.before, first, "right") - 1
 
 
+def grams_at(seq: Sequences, k: int, at: np.ndarray) -> np.ndarray:
+    """A hash of the k-gram at each place, in pieces of the text."""
+    order = np.argsort(at, kind="stable")
+    places, out = at[order], np.empty(len(at), np.uint64)
+    last, i = int(seq.before[-1]) - k + 1, 0
+    while i < len(places):
+        a = int(places[i])
+        b = min(a + PIECE // 2, last)
+        j = int(np.searchsorted(places, b))
+        out[order[i:j]] = seq.grams(a, b)[places[i:j] - a]
+        i = j
+    return out
+
+
+def split_hot(seq: Sequences, length: int, k: int, found: tuple, hot: np.ndarray) -> tuple:
+    """Contexts as runs() finds them, those of hot anchors (ascending) split into runs of windows with the anchor in one part of them.
+
+    Such windows share a core around the anchor, whose hash becomes the key; equal windows have their anchor in the same place and
+    so the same key."""
+    first, n, h, of = found
+    if not len(hot) or not len(h):
+        return found
+    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+    if not is_hot.any():
+        return found
+    width = length - k + 1
+    step = -(-width // PARTS)
+    a, m, key, text = (x[is_hot] for x in (first, n, h, of))
+    run = np.arange(len(a))
+
+    def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, place) of `sizes` places from each run's first."""
+        own = np.repeat(run, sizes)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + a[own]
+
+    # Where in each run's windows its anchor stands, and for each window the first such place in it.
+    own, at = places(m + width - 1)
+    is_anchor = (grams_at(seq, k, at) & SENT) == key[own]
+    spread = np.int64(int(seq.before[-1]) + 1)
+    anchors = (own * spread + at)[is_anchor]
+    own, start = places(m)
+    anchor = anchors[np.searchsorted(anchors, own * spread + start)] - own * spread
+    part = (anchor - start) // step
+    new = np.append(True, (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))
+    head = np.flatnonzero(new)
+    # The core is as long as a window, less the places that the anchor may take in it; grams side by side cover it.
+    begin, core = anchor[head] - part[head] * step, length - step + 1
+    keys = mix(key[own[head]] + part[head].astype(np.uint64))
+    for x in [*range(0, core - k, k), core - k]:
+        keys = mix(keys * np.uint64(3) + grams_at(seq, k, begin + x))
+    cold = ~is_hot
+    out = (np.concatenate([first[cold], start[head]]), np.concatenate([n[cold], np.diff(np.append(head, len(own)))]), np.concatenate([h[cold], keys & SENT]), np.concatenate([of[cold], text[own[head]]]))
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
 def _sorted_rows(table: pa.Table) -> pa.Table:
     """The rows of a block in an order that does not depend on how they came."""
     return table.take(pc.sort_indices(table, [("_id", "ascending"), ("_text", "ascending")])) if table.num_rows > 1 else table
@@ -146,6 +207,29 @@ def _all(table: pa.Table, name: str, kind: type, size: int | None = None) -> lis
     return [unpack(x, kind, size) for x in table.column(name).to_pylist()]
 
 
+def dealt(rows: DataFrame, by: str = "_block") -> DataFrame:
+    """(by, data) from rows: what a task has for a block as one compressed table. The shuffle moves about half of the texts' bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(b.schema.get_field_index(by)).to_numpy()
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            parts = []
+            for i, j in zip(head, np.append(head[1:], len(key)), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(b.take(pa.array(order[i:j])))
+                parts.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key[order][head], pa.int32()), pa.array(parts, pa.binary())], [by, "data"])
+
+    return rows.mapInArrow(run, f"{by} int, data binary")
+
+
+def undealt(table: pa.Table) -> pa.Table:
+    """The rows of a block again."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("data").to_pylist()])
+
+
 def remove_shared(
     docs: DataFrame, sequences: Callable[[np.ndarray, np.ndarray], Sequences], matcher: Callable[[list[bytes], np.ndarray], list[tuple[int, int, int]]],
     finish: Callable[[Sequences, np.ndarray, int], tuple[list, pa.Array]], finished: str, length: int, k: int, text: str = "text", doc_id: str = "doc_id",
@@ -159,10 +243,10 @@ def remove_shared(
     base = docs.select(F.col(doc_id), id_key(doc_id).alias("_id"), text_or_empty(text).alias("_text"))
     blocks = max(1, -(-text_bytes(docs, text) // BLOCK))
     buckets = blocks * 2
-    base = base.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    base = dealt(base.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")))
 
     def load(table: pa.Table) -> tuple[pa.Table, Sequences, np.ndarray]:
-        table = _sorted_rows(table)
+        table = _sorted_rows(undealt(table))
         seq = sequences(*flat(table.column("_text")))
         return table, seq, table.column("_id").to_numpy()
 
@@ -179,21 +263,21 @@ def remove_shared(
         n = [len(x) for x in hs]
         multi = np.concatenate([np.unpackbits(x, count=m).astype(bool) for x, m in zip(_all(table, "multi", np.uint8), n, strict=True)])
         h = np.concatenate(hs)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        found = multi.copy()
-        found[order[1:][same]] = True
-        found[order[:-1][same]] = True
+        _, kind, holders = np.unique(h, return_inverse=True, return_counts=True)
+        found, hot = multi | (holders[kind] > 1), holders[kind] >= HOT
         ends = np.cumsum(n)
-        return pa.table({"_block": table.column("block"), "h": pa.array([pack(h[i - m : i][found[i - m : i]], 6) for i, m in zip(ends, n, strict=True)], pa.binary())})
+        sent = lambda which: pa.array([pack(h[i - m : i][which[i - m : i]], 6) for i, m in zip(ends, n, strict=True)], pa.binary())
+        return pa.table({"_block": table.column("block"), "h": sent(found), "hot": sent(hot)})
 
     def send_contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "at": [], "keys": [], "sizes": [], "data": []}
         if left.num_rows and right.num_rows:
             _, seq, ids = load(left)
             first, n, h, of = runs(seq, length, k)
-            wanted = np.sort(np.concatenate(_all(right, "h", np.uint64, 6)))
+            wanted, hot = (np.sort(np.concatenate(_all(right, c, np.uint64, 6))) for c in ("h", "hot"))
             pick = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.zeros(0, np.int64)
+            first, n, h, of = split_hot(seq, length, k, (first[pick], n[pick], h[pick], of[pick]), hot)
+            pick = np.arange(len(h))
             # Rows are in order of ids, so the first of equal contexts is the one with the smallest id.
             seen: set[bytes] = set()
             keep, data = [], []
@@ -214,7 +298,7 @@ def remove_shared(
                 out["at"].append(pack(first[own]))
                 out["keys"].append(pack(h[own], 3))
                 out["sizes"].append(pack(np.append([len(data[x]) for x in part], n[own]).astype(np.int32)))
-                out["data"].append(b"".join([data[x] for x in part]))
+                out["data"].append(pa.compress(b"".join([data[x] for x in part]), codec="zstd", asbytes=True))
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("ids", "at", "keys", "sizes", "data")]]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +310,7 @@ def remove_shared(
             for block, ids, at, keys, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "at", "keys", "sizes", "data")), strict=True):
                 ids, at, keys, sizes = unpack(ids, np.int64), unpack(at, np.int64), unpack(keys, np.uint64, 3), unpack(sizes, np.int32)
                 size, n = sizes[: len(ids)], sizes[len(ids) :]
+                data = pa.decompress(data, int(size.sum()), codec="zstd", asbytes=True)
                 numbers = np.empty(len(ids), np.int64)
                 end = 0
                 for x, (i, key, m) in enumerate(zip(ids.tolist(), keys.tolist(), size.tolist(), strict=True)):
@@ -271,7 +356,9 @@ def remove_shared(
         table, seq, ids = load(left)
         total = int(seq.before[-1])
         edge = np.zeros(total + 1, np.int32)
-        first, n, h, of = runs(seq, length, k)
+        hot_anchors = np.sort(np.concatenate([np.zeros(0, np.uint64), *_all(right.filter(pc.is_valid(right.column("hot"))), "hot", np.uint64, 6)]))
+        first, n, h, of = split_hot(seq, length, k, runs(seq, length, k), hot_anchors)
+        right = right.filter(pc.is_valid(right.column("at")))
 
         def cover(a: np.ndarray, windows: np.ndarray) -> None:
             np.add.at(edge, a, 1)
@@ -317,10 +404,12 @@ def remove_shared(
     result = StructType([docs.schema[doc_id], *StructType.fromDDL(ddl).fields])
     out_schema = to_arrow_schema(result)
     anchors = base.groupBy("_block").applyInArrow(send_anchors, "bucket int, block int, h binary, multi binary")
-    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "_block int, h binary")
+    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "_block int, h binary, hot binary")
     contexts = base.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(send_contexts, "bucket int, block int, ids binary, at binary, keys binary, sizes binary, data binary")
     found = contexts.groupBy("bucket").applyInArrow(match, "_block int, at binary, n binary")
-    return base.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(cut_out, result)
+    none = F.lit(None).cast("binary")
+    told = found.withColumn("hot", none).unionByName(shared.where(F.length("hot") > 0).select("_block", none.alias("at"), none.alias("n"), "hot"))
+    return base.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(cut_out, result)
 
 
 def spans_of(covered: np.ndarray) -> np.ndarray:
