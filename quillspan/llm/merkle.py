@@ -8,6 +8,8 @@ A long run without such a token stays one leaf: one word without end, or few wor
 
 Null texts count as empty: one empty leaf. Rows with equal id and text are one document in the order of ids, and each
 gets the result. Null ids come last in the descending order; equal ids with other texts follow by the text's hash.
+An empty table gives an empty result; one document alone is its own next. A very long text is one row of many leaves. Only the id and the
+text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations

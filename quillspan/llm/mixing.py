@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, packed, unpacked
+from ..operators.numbering import numbered
+from .common import count_words, cut, packed, release, unpacked
 
 #: The targets are broadcast up to so many sources, else joined by shuffle (AQE splits a hot source).
 BROADCAST_SOURCES = 100_000
@@ -31,35 +32,37 @@ def coin(seed: int, doc_id: Column, text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_rate: float) -> DataFrame:
-    """(source, source_size, target) from rows (source, size).
+    """(source, source_size, target), a cut, from rows (source, size).
 
-    The fixed point of resharing the excess is a water level: a source takes least(cap, weight * level). Sources fill
-    up in the order of cap / weight, so one pass over the sorted sources finds which do.
-    The windows without a key run over one row per source, after the sums have been taken.
+    The fixed point of resharing the excess is a water level: a source takes least(cap, weight * level). Each round sums the caps of
+    the sources that are full at the level so far and shares what is left among the weights of the others; full sources stay
+    full, so the level only rises, and rounds end when no source fills. Sources are one row each and only sums of them meet.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("source").asc_nulls_last())
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_none", F.col("source").isNull())
+    by_name = numbered(per, "_none", "source")  # null last
     w = F.array(*[F.lit(float(x)) for x in weights])
-    per = per.withColumn("_w", F.element_at(w, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("_cap", F.lit(float(max_rate)) * F.col("source_size"))
-    filled = every.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    upto = filled.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.lit(float(share)) * F.sum("source_size").over(whole)
-    need = F.sum("_cap").over(upto) + F.col("_cap") / F.col("_w") * (F.sum("_w").over(whole) - F.sum("_w").over(upto))
-    per = per.withColumn("_total", total).withColumn("_full", need <= F.col("_total"))
-    full = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(whole), F.lit(0.0))
-    open_w = F.sum(F.when(~F.col("_full"), F.col("_w"))).over(whole)
-    per = per.withColumn("_level", (F.col("_total") - full) / open_w)
-    target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.col("_level")))
-    return per.select("source", "source_size", target.alias("target"))
+    weight = F.element_at(w, (F.col("number") % len(weights) + 1).cast("int"))
+    per = cut(by_name.select("source", "source_size", weight.alias("_w"), (F.lit(float(max_rate)) * F.col("source_size")).alias("_cap")))
+    release(by_name._uses)
+    sums = per.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    total, taken, open_w = float(share) * (sums["size"] or 0), 0.0, sums["w"] or 0.0
+    while True:
+        level = (total - taken) / open_w if open_w else float("inf")
+        full = F.col("_cap") / F.col("_w") <= F.lit(level)
+        now = per.agg(F.sum(F.when(full, F.col("_cap"))).alias("cap"), F.sum(F.when(~full, F.col("_w"))).alias("w")).first()
+        now = (now["cap"] or 0.0, now["w"] or 0.0)
+        if now == (taken, open_w):
+            break
+        taken, open_w = now
+    out = cut(per.select("source", "source_size", F.when(full, F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.lit(level))).alias("target")))
+    release(per)
+    return out
 
 
 def mixing_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 17, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns of `docs` and a struct `_mix` (size, source_size, target, rate, copies)."""
     size = count_words(F.col(text))
-    targets = cut(source_targets(docs.select(F.col(source).alias("source"), size.alias("size")), weights, share, max_rate))
+    targets = source_targets(docs.select(F.col(source).alias("source"), size.alias("size")), weights, share, max_rate)
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     right = targets.select(F.struct("source", "source_size", "target").alias("_t"))
     right = F.broadcast(right) if small else right

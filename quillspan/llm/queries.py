@@ -87,6 +87,43 @@ QUERIES = {
     "op7_cross_entropy": op7_cross_entropy, "op8_classifier_chain": op8_classifier_chain, "op9_chosen_path": op9_chosen_path, "op10_mixing": op10_mixing,
 }
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, x, n, unnest(range(0, n)) AS p FROM d),
+w AS (SELECT doc_id, p, substr(x, CAST(2 * p + 1 AS BIGINT), 2) AS byte, CASE WHEN p + 50 <= n THEN substr(x, CAST(2 * p + 1 AS BIGINT), 100) END AS win FROM b),
+f AS (SELECT doc_id, p, byte, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS later FROM w),
+c AS (SELECT doc_id, p, byte, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+b AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d),
+w AS (SELECT doc_id, p, l[p] AS word, CASE WHEN p + 12 <= len(l) THEN array_to_string(l[p:p + 12], ' ') END AS win FROM b),
+f AS (SELECT doc_id, p, word, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS later FROM w),
+c AS (SELECT doc_id, p, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, min(doc_id) AS least, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents GROUP BY text),
+g AS (SELECT DISTINCT k, array_to_string(l[p:p + 4], ' ') AS s FROM (SELECT k, l, unnest(range(1, greatest(2, len(l) - 3))) AS p FROM t WHERE len(l) > 0)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+c AS (SELECT x.k AS a, y.k AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.k < y.k GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 10 * m >= 8 * (x.n + y.n - m)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT k AS v, k AS w FROM t UNION SELECT v, s.b FROM r JOIN s ON s.a = w),
+m AS (SELECT v, min(least) AS class_id FROM r JOIN t ON t.k = w GROUP BY v),
+o AS (SELECT k, class_id, (SELECT count(*) FROM s WHERE s.a = k) AS n_links, l FROM t JOIN m ON v = k),
+own AS (SELECT doc_id, k FROM documents JOIN (SELECT min(doc_id) AS least, text AS same FROM documents GROUP BY text) q ON documents.text IS NOT DISTINCT FROM q.same JOIN t USING (least))
+SELECT doc_id, CASE WHEN len(l) > 0 THEN class_id ELSE doc_id END AS class_id, CAST(n_links AS BIGINT) AS n_links FROM own JOIN o USING (k)
+"""
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, unnest(range(0, len(l) - 2)) AS p, l FROM d WHERE len(l) >= 3),
@@ -118,4 +155,4 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES = {"op5_line_windows": OP5_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op2_bwt_intervals": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op5_line_windows": OP5_SQL, "op9_chosen_path": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -597,6 +597,9 @@ def test_mixing(spark, docs, empty):
         rate = target[r.source] / size[r.source]
         assert int(rate) <= m.copies <= int(rate) + (rate > int(rate)) and r._id == "keep"
         copies[(r.doc_id, r.text)] += m.copies
+    sizes = spark.createDataFrame([("a", 10), ("b", 0), ("c", 7), (None, 500), ("d", 3)], "source string, size long")
+    all_full = {r.source: r.target for r in mixing.source_targets(sizes, (1, 5), 9.0, 2.0).collect()}
+    assert all_full == {"a": 20.0, "b": 0.0, "c": 14.0, "d": 6.0, None: 1000.0} and mixing.source_targets(sizes.limit(0), (1, 5), 1.5, 2.0).count() == 0
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +copies
