@@ -170,7 +170,10 @@ class RulesBackend:
         return {"person": given["person"], "trait_probs": probs, "evidence": sorted(evidence, key=lambda e: e["span"])}
 
 
-def ask(rows: DataFrame, backend: Backend, build: Callable[[dict], tuple[str, str]], accept: Callable[[str, dict], str | None] | None = None, attempts: int = 1, concurrency: int | None = None) -> DataFrame:
+def ask(
+    rows: DataFrame, backend: Backend, build: Callable[[dict], tuple[str, str]], accept: Callable[[str, dict], str | None] | None = None, attempts: int = 1,
+    concurrency: int | None = None
+) -> DataFrame:
     """Adds `reply` and `failure` (why none was accepted) to each row.
 
     `accept` returns what is wrong with a reply, or None; a wrong one is asked for again, `attempts` times in all. Equal
@@ -212,6 +215,11 @@ def settled(asked: DataFrame, stage: str, key: Column, strict: bool = False) ->
     """
     asked = cut(asked)
     errors = asked.where("failure is not null").select(F.lit(stage).alias("stage"), key.alias("key"), F.col("failure").alias("reason"), F.col("reply").alias("raw"))
-    if strict and (bad := errors.limit(1).collect()):
-        raise StageFailed(f"{stage} of {bad[0]['key']}: {bad[0]['reason']}")
+    refuse(errors, strict)
     return asked, errors
+
+
+def refuse(errors: DataFrame, strict: bool) -> None:
+    """Raises StageFailed for the first of `errors` if the run is strict."""
+    if strict and (bad := errors.limit(1).collect()):
+        raise StageFailed(f"{bad[0]['stage']} of {bad[0]['key']}: {bad[0]['reason']}")

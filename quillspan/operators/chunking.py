@@ -1,14 +1,14 @@
 """Chunks and sentences of documents.
 
 split_documents() cuts texts recursively at the separators into chunks of at most `size` characters that overlap by up to
-`overlap`; sentence_index() and sentence_spans() find sentence spans in any text column as built-in expressions; chunk_offsets() gives the
+`overlap`; sentence_spans() and sentence_index() find sentence spans in any text column as built-in expressions, text by text; chunk_offsets() gives the
 running estimate of a chunk's place, also without Python.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -124,29 +124,43 @@ def _parts(text: Column) -> Column:
     return F.split(marked, "\x01", -1)
 
 
-def sentence_index(rows: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
-    """(*by, sent_id, start, end): half-open spans in characters; `by` must name a row.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sums_before(values: Column, block: int = 64) -> Column:
+    """For each value of an array the sum of those before it, by sums of blocks: a long array costs its length, not its square."""
+    plus = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    whole = lambda i: F.floor(i / block).cast("int")
+
+    def by_blocks(v: Column) -> Column:
+        last = whole(F.size(v) - 1)
+        sums = F.transform(F.sequence(F.lit(0), last), lambda b: plus(F.slice(v, b * block + 1, F.lit(block))))
+        before = _let(sums, lambda t: F.transform(F.sequence(F.lit(0), last), lambda b: plus(F.slice(t, F.lit(1), b))))
+        return _let(before, lambda t: F.transform(v, lambda _, i: F.get(t, whole(i)) + plus(F.slice(v, whole(i) * block + 1, i % block))))
+
+    return _let(values, by_blocks)
+
+
+def sentence_spans(text: Column) -> Column:
+    """array<struct<sent_id, start, end>>: half-open spans in characters.
 
     The lengths of the parts between boundaries add up to the spans. A span keeps its leading white space and loses the trailing
-    one; parts of white space only have no number. sentence_spans() tells the same of short texts in place.
+    one; parts of white space only have no number.
     """
-    parts = rows.select(*by, F.posexplode(_parts(F.col(text))).alias("_k", "_part"))
-    w = Window.partitionBy(*by).orderBy("_k")
-    start = F.coalesce(F.sum(F.length("_part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = parts.select(*by, "_k", start.cast("int").alias("start"), (start + F.length(rtrim_ws(F.col("_part")))).cast("int").alias("end")).where(F.col("end") > F.col("start"))
-    return spans.select(*by, (F.row_number().over(w) - 1).alias("sent_id"), "start", "end")
+    def spans(parts: Column) -> Column:
+        starts = sums_before(F.transform(parts, lambda p: F.length(p)))
+        found = F.zip_with(parts, starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(rtrim_ws(p))).alias("end")))
+        filled = F.filter(found, lambda x: x["end"] > x["start"])
+        return F.transform(filled, lambda x, i: F.struct(i.alias("sent_id"), x["start"].alias("start"), x["end"].alias("end")))
 
+    return _let(_parts(text), spans)
 
-def sentence_spans(text: Column) -> Column:
-    """The spans of sentence_index() as array<struct<sent_id, start, end>>, for texts as short as chunks: the array grows by copying."""
-    def add(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(rtrim_ws(part))
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.when(end > acc["at"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate(_parts(text), none, add)["spans"]
-    return F.transform(spans, lambda s, i: F.struct(i.alias("sent_id"), s["start"].alias("start"), s["end"].alias("end")))
+
+def sentence_index(rows: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
+    """(*by, sent_id, start, end): a row for each sentence of each text; nothing is shuffled."""
+    return rows.select(*by, F.explode(sentence_spans(F.col(text))).alias("_s")).select(*by, "_s.sent_id", "_s.start", "_s.end")
 
 
 def with_sentences(chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ def graph_nodes(entities_canonical: DataFrame, trait_edges: DataFrame) -> DataFr
     """(id, label, group, title): entities with their aliases, and each trait once."""
     title = F.when(F.size("aliases") > 0, F.concat(F.lit("Aliases: "), F.array_join("aliases", ", ")))
     entities = entities_canonical.select("id", F.col("name").alias("label"), F.col("type").alias("group"), title.alias("title"))
-    traits = trait_edges.select("trait").distinct().select(F.concat(F.lit("trait::"), "trait").alias("id"), F.col("trait").alias("label"), F.lit("Trait").alias("group"), F.lit(None).cast("string").alias("title"))
+    traits = trait_edges.select("trait").distinct().select(
+        F.concat(F.lit("trait::"), "trait").alias("id"), F.col("trait").alias("label"), F.lit("Trait").alias("group"),
+        F.lit(None).cast("string").alias("title")
+    )
     return entities.unionByName(traits)
 
 

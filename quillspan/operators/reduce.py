@@ -52,7 +52,11 @@ def beta_posterior(evidence: DataFrame, tau_score: float = TAU_SCORE, tau_conf:
     if "span" not in evidence.columns:
         return out
     best = top_evidence(evidence, top)
-    lists = best.groupBy("person", "trait").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct("span.chunk_id", "span.start", "span.end").alias("at")))), lambda x: x["at"]).alias("topk"))
+    lists = best.groupBy("person", "trait").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", F.struct("span.chunk_id", "span.start", "span.end").alias("at")))), lambda x: x["at"]
+        ).alias("topk")
+    )
     return out.join(lists, ["person", "trait"])
 
 

@@ -64,11 +64,21 @@ def events_from(items: DataFrame, coref: DataFrame) -> DataFrame:
     out = _common(items, "evt")
     parts = out.select("id", "chunk_id", F.posexplode("participants").alias("k", "p"))
     known = parts.join(coref, F.concat_ws(":", "chunk_id", F.col("p.entity_id")) == F.col("mid"), "left")
-    lists = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.struct(F.col("p.role").alias("role"), F.coalesce("canonical_id", F.col("p.entity_id")).alias("entity_id")).alias("p")))).alias("l"))
+    lists = known.groupBy("id").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "k", F.struct(F.col("p.role").alias("role"), F.coalesce("canonical_id", F.col("p.entity_id")).alias("entity_id")).alias("p")
+                )
+            )
+        ).alias("l")
+    )
     return out.join(lists.select("id", F.transform("l", lambda x: x["p"]).alias("participants_global")), "id", "left")
 
 
-def extract_relations(chunks: DataFrame, entities: DataFrame, coref: DataFrame, backend: Backend, attempts: int = 1, concurrency: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_relations(
+    chunks: DataFrame, entities: DataFrame, coref: DataFrame, backend: Backend, attempts: int = 1, concurrency: int | None = None, strict: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(relations, events, errors). Replies without JSON have no items; malformed ones become errors."""
     listed = entities.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "name", "type", "mentions"))).alias("listed"))
     rows = chunks.select("chunk_id", F.struct("doc_id", "chunk_no").alias("chunk_ord"), "text").join(listed, "chunk_id", "left")

@@ -17,6 +17,15 @@ from .components import components
 from .numbering import numbered
 
 HIGH, LOW, ACCEPT, CONTEXT = 0.93, 0.40, 0.6, 80
+ENTITY_COLUMNS = {"chunk_id": "string", "id": "string", "type": "string", "name": "string"}
+
+
+def check_columns(entities: DataFrame) -> None:
+    """Whether a table is one of entities; raises ValueError for a column that is missing or of another type."""
+    types = dict(entities.dtypes)
+    for name, kind in ENTITY_COLUMNS.items():
+        if types.get(name) != kind:
+            raise ValueError(f"entities: {name} must be {kind}, not {types.get(name, 'missing')}")
 
 
 def mentions_of(entities: DataFrame, norm: Column | None = None) -> DataFrame:
@@ -121,8 +130,12 @@ def canonical_entities(mentions: DataFrame, edges: DataFrame | None) -> tuple[Da
     return canonical, coref
 
 
-def resolve_entities(entities: DataFrame, chunks: DataFrame | None = None, backend: Backend | None = None, high: float = HIGH, low: float = LOW, max_retries: int = 3, merge_empty: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve_entities(
+    entities: DataFrame, chunks: DataFrame | None = None, backend: Backend | None = None, high: float = HIGH, low: float = LOW, max_retries: int = 3,
+    merge_empty: bool = True, strict: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole stage: (entities_canonical, coref, errors). Without a backend ambiguous pairs stay apart; `strict` raises if it fails for one."""
+    check_columns(entities)
     mentions = cut(mentions_of(entities))
     edges = exact_edges(mentions, merge_empty)
     pairs = cut(route(candidate_pairs(mentions, low) if low >= 0.4 else band_pairs(mentions), high, low))

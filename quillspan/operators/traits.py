@@ -25,14 +25,23 @@ def window_bounds(sents: Column, sent_id: Column, size: int = WINDOW) -> Column:
 
 
 def person_windows(people: DataFrame, chunks: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(windows, errors): a window for each person of a chunk and distinct sentence; sentences beyond the last become errors."""
-    rows = people.select("chunk_id", "canonical_id", "display_name", "local_id", F.explode(F.array_sort(F.array_distinct(F.transform("mentions", lambda m: m["sent_id"])))).alias("sent_id_center"))
-    rows = rows.join(chunks.select("chunk_id", "text", "sent_index"), "chunk_id").withColumn("_w", window_bounds(F.col("sent_index"), F.col("sent_id_center"), size))
-    good = rows.where("sent_id_center <= size(sent_index) and size(_w) > 0")
-    at = lambda f, pick: pick(F.transform("_w", lambda s: s[f]))
-    windows = good.select("chunk_id", "canonical_id", "display_name", "sent_id_center", F.transform("_w", lambda s: s["sent_id"]).alias("sent_ids"), at("start", F.array_min).alias("start"), at("end", F.array_max).alias("end"), "text")
-    windows = windows.withColumn("text", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    bad = rows.where("sent_id_center > size(sent_index) or size(_w) = 0").select(F.lit("windows").alias("stage"), F.concat_ws(":", "chunk_id", "local_id").alias("key"), F.lit("no such sentence").alias("reason"), F.col("sent_id_center").cast("string").alias("raw"))
+    """(windows, errors): a window for each person of a chunk and distinct sentence, cut out beside the chunk's text; sentences beyond the last become errors."""
+    def window(center: Column) -> Column:
+        w = window_bounds(F.col("sent_index"), center, size)
+        start, end = F.array_min(F.transform(w, lambda s: s["start"])), F.array_max(F.transform(w, lambda s: s["end"]))
+        return F.struct(
+            center.alias("sent_id_center"), F.transform(w, lambda s: s["sent_id"]).alias("sent_ids"), start.alias("start"), end.alias("end"),
+            F.substring(F.col("text"), start + 1, end - start).alias("text"), ((center <= F.size("sent_index")) & (F.size(w) > 0)).alias("there"),
+        )
+
+    centers = F.array_sort(F.array_distinct(F.transform("mentions", lambda m: m["sent_id"])))
+    rows = people.select("chunk_id", "canonical_id", "display_name", "local_id", centers.alias("centers")).join(chunks.select("chunk_id", "text", "sent_index"), "chunk_id")
+    rows = rows.select("chunk_id", "canonical_id", "display_name", "local_id", F.explode(F.transform("centers", window)).alias("w"))
+    windows = rows.where("w.there").select("chunk_id", "canonical_id", "display_name", "w.sent_id_center", "w.sent_ids", "w.start", "w.end", "w.text")
+    bad = rows.where("not w.there").select(
+        F.lit("windows").alias("stage"), F.concat_ws(":", "chunk_id", "local_id").alias("key"), F.lit("no such sentence").alias("reason"),
+        F.col("w.sent_id_center").cast("string").alias("raw"),
+    )
     return windows, bad
 
 
@@ -56,7 +65,10 @@ def to_evidence(parsed: DataFrame, method_prior: float = METHOD_PRIOR, context_q
     rows = shown.select("canonical_id", "chunk_id", "sent_id_center", "sent_ids", "start", first.alias("e"), F.explode(calibrate(F.col("r.trait_probs"))).alias("trait", "s"))
     s = F.when(F.col("e.neg"), 1 - F.col("s")).otherwise(F.col("s")) if use_negation else F.col("s")
     span = F.struct("chunk_id", (F.col("start") + F.col("e.span")[0]).alias("start"), (F.col("start") + F.col("e.span")[1]).alias("end"), "sent_ids")
-    return rows.select(F.col("canonical_id").alias("person"), "trait", s.alias("s"), (F.lit(method_prior) * F.lit(context_quality)).alias("c"), span.alias("span"), F.array(F.lit("llm")).alias("method"), F.lit(None).cast("string").alias("rationale"), F.struct("chunk_id", "sent_id_center", "trait").alias("ord"))
+    return rows.select(
+        F.col("canonical_id").alias("person"), "trait", s.alias("s"), (F.lit(method_prior) * F.lit(context_quality)).alias("c"), span.alias("span"),
+        F.array(F.lit("llm")).alias("method"), F.lit(None).cast("string").alias("rationale"), F.struct("chunk_id", "sent_id_center", "trait").alias("ord")
+    )
 
 
 def extract_traits(windows: DataFrame, backend: Backend, attempts: int = 1, dedupe: bool = False, strict: bool = False, **how) -> tuple[DataFrame, DataFrame]:

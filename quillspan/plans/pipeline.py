@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..backends import Backend, RulesBackend
+from ..backends import Backend, RulesBackend, refuse
 from ..operators import chunking, extract, graph, reduce as reducers, relations, resolve, traits
 from ..session import cut
 
@@ -40,6 +40,7 @@ def run_pipeline(
     rels, events, errors3 = relations.extract_relations(chunks, entities, coref, backend, concurrency=concurrency, strict=strict)
     done("relations and events")
     windows, errors4 = traits.person_windows(traits.persons_in_chunks(entities, coref), chunks)
+    refuse(errors4, strict)
     evidence, errors5 = traits.extract_traits(windows, backend, dedupe=dedupe, use_negation=use_negation, strict=strict)
     done("traits")
     fused = reducers.fuse_relations(rels, key_polarity=key_polarity)

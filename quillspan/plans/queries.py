@@ -59,14 +59,18 @@ def sentence_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Each sentence with its neighbours. A text meets its list of windows once and is cut there."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    spans = chunking.sentence_index(docs, ["doc_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "start", "end"))).alias("l"))
-    window = F.transform("l", lambda s: traits.window_bounds(F.col("l"), s["sent_id"]))
-    told = docs.join(spans, "doc_id").withColumn("w", window)
-    frame = F.transform("w", lambda w, i: F.struct(i.cast("long").alias("sent_id"), F.array_min(F.transform(w, lambda s: s["start"])).cast("long").alias("b"), F.array_max(F.transform(w, lambda s: s["end"])).cast("long").alias("e"), F.size(w).cast("long").alias("n_sents")))
-    cut = told.withColumn("f", frame).select("doc_id", F.explode(F.transform("f", lambda f: f.withField("window_md5", F.md5(F.substring(F.col("text"), (f["b"] + 1).cast("int"), (f["e"] - f["b"]).cast("int")))))).alias("f"))
-    return cut.select("doc_id", "f.*")
+    """Each sentence with its neighbours, cut out where the text is."""
+    docs = chunking.with_sentences(table(spark, d, "documents").select("doc_id", "text"))
+
+    def window(s: Column) -> Column:
+        w = traits.window_bounds(F.col("sent_index"), s["sent_id"])
+        b, e = F.array_min(F.transform(w, lambda x: x["start"])), F.array_max(F.transform(w, lambda x: x["end"]))
+        return F.struct(
+            s["sent_id"].cast("long").alias("sent_id"), b.cast("long").alias("b"), e.cast("long").alias("e"), F.size(w).cast("long").alias("n_sents"),
+            F.md5(F.substring(F.col("text"), b + 1, e - b)).alias("window_md5"),
+        )
+
+    return docs.select("doc_id", F.explode(F.transform("sent_index", window)).alias("x")).select("doc_id", "x.*")
 
 
 def _hits(text: Column, word: str) -> Column:
@@ -91,7 +95,10 @@ def person_windows(spark: SparkSession, d: str) -> DataFrame:
     entities = named.select("chunk_id", F.lit("e0").alias("id"), F.lit("Person").alias("type"), F.col("who").alias("name"), F.col("m").alias("mentions"))
     coref = named.select(F.concat("chunk_id", F.lit(":e0")).alias("mid"), F.col("who").alias("canonical_id"))
     windows, _ = traits.person_windows(traits.persons_in_chunks(entities, coref), chunks.drop("who"))
-    return windows.select("chunk_id", "canonical_id", F.col("sent_id_center").cast("long").alias("sent_id"), F.col("start").cast("long").alias("b"), F.col("end").cast("long").alias("e"), F.md5("text").alias("window_md5"))
+    return windows.select(
+        "chunk_id", "canonical_id", F.col("sent_id_center").cast("long").alias("sent_id"), F.col("start").cast("long").alias("b"),
+        F.col("end").cast("long").alias("e"), F.md5("text").alias("window_md5")
+    )
 
 
 def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -107,11 +114,17 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
 def json_entities(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     mention = F.format_string('{"start": %d, "end": %d, "sent_id": 0}', k - 10, k)
-    raw = F.concat(F.lit('Here: {"entities": [{"type": "Concept", "name": " '), "event_type", F.lit(' ", "mentions": ['), mention, F.lit(', {"start": 5, "end": 5, "sent_id": 0}]}, {"type": "Org", "name": "x", "mentions": []}]} done'))
+    raw = F.concat(
+        F.lit('Here: {"entities": [{"type": "Concept", "name": " '), "event_type", F.lit(' ", "mentions": ['), mention,
+        F.lit(', {"start": 5, "end": 5, "sent_id": 0}]}, {"type": "Org", "name": "x", "mentions": []}]} done')
+    )
     e = table(spark, d, "events").select("event_id", raw.alias("raw"), F.lit("x" * 60).alias("text"))
     e = e.select("event_id", jsonx.parse_entities(F.col("raw"), F.col("text")).alias("es")).where(jsonx.entities_hold(F.col("es")))
     e = e.select("event_id", F.posexplode("es").alias("ord", "e"))
-    return e.select("event_id", F.concat(F.col("event_id"), F.lit("_e"), F.col("ord")).alias("id"), "e.type", "e.name", F.col("e.mentions")[0]["start"].cast("long").alias("b"), F.size("e.mentions").cast("long").alias("n_mentions"))
+    return e.select(
+        "event_id", F.concat(F.col("event_id"), F.lit("_e"), F.col("ord")).alias("id"), "e.type", "e.name",
+        F.col("e.mentions")[0]["start"].cast("long").alias("b"), F.size("e.mentions").cast("long").alias("n_mentions")
+    )
 
 
 def slug_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -129,9 +142,14 @@ def _relation_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_lookup(spark: SparkSession, d: str) -> DataFrame:
-    mids = spark.range(50).crossJoin(spark.range(60).withColumnRenamed("id", "e")).select(F.concat(F.lit("c_"), "id", F.lit(":e"), "e").alias("mid"), F.concat(F.lit("ent_"), "e").alias("canonical_id"))
+    mids = spark.range(50).crossJoin(spark.range(60).withColumnRenamed("id", "e")).select(
+        F.concat(F.lit("c_"), "id", F.lit(":e"), "e").alias("mid"), F.concat(F.lit("ent_"), "e").alias("canonical_id")
+    )
     out = relations.relations_from(_relation_items(spark, d), mids)
-    return out.select("id", "type", "head", "tail", "polarity", "modality", "confidence_local", F.col("supports")[0]["start"].cast("long").alias("b"), F.col("supports")[0]["end"].cast("long").alias("e"))
+    return out.select(
+        "id", "type", "head", "tail", "polarity", "modality", "confidence_local", F.col("supports")[0]["start"].cast("long").alias("b"),
+        F.col("supports")[0]["end"].cast("long").alias("e")
+    )
 
 
 def span_clip(spark: SparkSession, d: str) -> DataFrame:
@@ -144,31 +162,49 @@ def span_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_table(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("chunk_id"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("e"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Location").alias("type"))
+    n = table(spark, d, "nation").select(
+        F.col("n_regionkey").cast("string").alias("chunk_id"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("e"), "n_nationkey").alias("id"),
+        F.col("n_name").alias("name"), F.lit("Location").alias("type")
+    )
     return extract.entity_table(n)
 
 
 def relation_fuse(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     support = F.array(F.struct(F.col("l_orderkey").alias("start"), F.col("l_linenumber").alias("end")))
-    rows = li.select(F.col("l_returnflag").alias("type"), F.concat(F.lit("s"), "l_suppkey").alias("head"), F.col("l_linestatus").alias("tail"), F.lit(None).cast("string").alias("time_norm"), F.col("l_linenumber").alias("polarity"), support.alias("supports"), (F.col("l_discount") * 10).alias("confidence_local"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("ord"))
+    rows = li.select(
+        F.col("l_returnflag").alias("type"), F.concat(F.lit("s"), "l_suppkey").alias("head"), F.col("l_linestatus").alias("tail"),
+        F.lit(None).cast("string").alias("time_norm"), F.col("l_linenumber").alias("polarity"), support.alias("supports"),
+        (F.col("l_discount") * 10).alias("confidence_local"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("ord")
+    )
     out = reduce.fuse_relations(rows)
     places = F.array_join(F.transform("supports", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return out.select("type", "head", "tail", F.col("polarity").cast("long").alias("first_line"), F.size("supports").cast("long").alias("n_supports"), F.md5(places).alias("supports_md5"), F.round("confidence_local", 6).alias("confidence"))
+    return out.select(
+        "type", "head", "tail", F.col("polarity").cast("long").alias("first_line"), F.size("supports").cast("long").alias("n_supports"),
+        F.md5(places).alias("supports_md5"), F.round("confidence_local", 6).alias("confidence")
+    )
 
 
 def event_fuse(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     p = lambda r, e: F.struct(F.lit(r).alias("role"), e.cast("string").alias("entity_id"))
     a, b = p("speaker", F.col("conv_id") % 5), p("topic", F.col("turn") % 3)
-    rows = c.select(F.col("role").alias("type"), F.when(F.col("turn") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a)).alias("participants"), F.lit(None).cast("string").alias("time_norm"), F.array(F.struct("conv_id", "turn")).alias("supports"), F.lit(0.7).alias("confidence_local"), F.struct("conv_id", "turn").alias("ord"), F.col("conv_id").alias("first_conv"))
+    rows = c.select(
+        F.col("role").alias("type"), F.when(F.col("turn") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a)).alias("participants"),
+        F.lit(None).cast("string").alias("time_norm"), F.array(F.struct("conv_id", "turn")).alias("supports"), F.lit(0.7).alias("confidence_local"),
+        F.struct("conv_id", "turn").alias("ord"), F.col("conv_id").alias("first_conv")
+    )
     out = reduce.fuse_events(rows)
     key = F.array_join(F.transform(F.array_sort("participants"), lambda x: F.concat_ws("=", x["role"], x["entity_id"])), ",")
     return out.select("type", key.alias("participants"), "first_conv", F.size("supports").cast("long").alias("n_supports"), F.col("confidence_local").alias("confidence"))
 
 
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("k"), F.concat_ws("_x ", "p_name", "p_brand").alias("n")).union(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat_ws(" É\u00df\ufb01 ", "c_name", "c_mktsegment")))
+    names = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("k"), F.concat_ws("_x ", "p_name", "p_brand").alias("n")).union(
+        table(spark, d, "customer").select(
+            F.concat(F.lit("c"), "c_custkey"), F.concat_ws(" É\u00df\ufb01 ", "c_name", "c_mktsegment")
+        )
+    )
     return names.select("k", tx.normalize_name("n").alias("norm"))
 
 
@@ -179,7 +215,10 @@ def name_normalize_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _first_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chunk_id"), F.lit("e0").alias("id"), F.col("lang").alias("type"), F.split("text", "\n")[0].alias("name"))
+    return docs.select(
+        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chunk_id"), F.lit("e0").alias("id"), F.col("lang").alias("type"),
+        F.split("text", "\n")[0].alias("name")
+    )
 
 
 def exact_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +228,10 @@ def exact_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    e = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chunk_id"), F.lit("e0").alias("id"), F.lit("Concept").alias("type"), F.regexp_extract("text", r"^[A-Za-z]+[^A-Za-z]?", 0).alias("name"))
+    e = docs.select(
+        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("chunk_id"), F.lit("e0").alias("id"), F.lit("Concept").alias("type"),
+        F.regexp_extract("text", r"^[A-Za-z]+[^A-Za-z]?", 0).alias("name")
+    )
     m = resolve.mentions_of(e, tx.normalize_ascii(F.col("name")))
     canonical, _ = resolve.canonical_entities(m, resolve.exact_edges(m))
     return canonical.select("id", "name", F.array_join("aliases", "|").alias("aliases"), F.size("members").cast("long").alias("n_members"), F.element_at("members", 1).alias("root"))
@@ -233,7 +275,10 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     canonical = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("Person").alias("type"), F.col("c_name").alias("name"), F.array("c_name", "n_name").alias("aliases"))
     o = table(spark, d, "orders")
-    rels = o.select((F.col("o_custkey")).cast("string").alias("head"), (F.col("o_orderkey") % 2000).cast("string").alias("tail"), F.lower("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("source_label"), F.lit(0.7).alias("confidence_local"))
+    rels = o.select(
+        (F.col("o_custkey")).cast("string").alias("head"), (F.col("o_orderkey") % 2000).cast("string").alias("tail"), F.lower("o_orderstatus").alias("type"),
+        F.col("o_orderpriority").alias("source_label"), F.lit(0.7).alias("confidence_local")
+    )
     nodes = graph.graph_nodes(canonical, te)
     return nodes, graph.graph_edges(nodes, rels, te)
 

@@ -127,19 +127,33 @@ def test_candidate_pairs_lose_no_score_above_the_bound(spark):
     assert sorted(map(tuple, every.select("a_norm", "b_norm").collect())) == [(x, y) for i, x in enumerate(norms) for y in norms[i + 1 :] if x[0] == y[0]]
 
 
+def test_wrong_tables_and_windows(spark):
+    with pytest.raises(ValueError, match="name must be string, not missing"):
+        resolve.resolve_entities(spark.createDataFrame([("c", "e", "t")], "chunk_id string, id string, type string"))
+    reply = lambda stage, given: '{"entities": [{"type": "Person", "name": "Ann", "mentions": [{"start": 0, "end": 3, "sent_id": 99}]}]}' if stage == "entities" else "{}"
+    docs = spark.createDataFrame([("a", "Ann ran.")], "doc_id string, text string")
+    assert [(r.stage, r.reason) for r in run_pipeline(docs, ReplayBackend(reply))["errors"].collect()] == [("windows", "no such sentence")]
+    with pytest.raises(StageFailed, match="windows"):
+        run_pipeline(docs, ReplayBackend(reply), strict=True)
+
+
 def test_numbers(spark):
     got = {x.v: x.number for x in numbered(spark.range(500).select((F.col("id") * 7 % 500).alias("v")).repartition(6), "v").collect()}
     assert got == {v: v for v in range(500)}
     assert numbered(spark.range(0).withColumnRenamed("id", "v"), "v").count() == 0
 
 
-def test_sentences_in_place(spark):
-    texts = ["A b. C d!  E\n\nF  ", "", None, " \n\n x", "Mr. Krabs ran.” He \u2028fell? yes", "no end", "é. ü! \x01 y."]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    want = {}
-    for r in chunking.sentence_index(rows, ["k"]).orderBy("k", "sent_id").collect():
-        want.setdefault(r.k, []).append((r.sent_id, r.start, r.end))
-    assert {r.k: [tuple(s) for s in r.sent_index] for r in chunking.with_sentences(rows).collect()} == {k: want.get(k, []) for k in range(len(texts))}
+def test_sums_before(spark):
+    r = random.Random(6)
+    rows = [[r.randint(0, 9) for _ in range(n)] for n in (1, 63, 64, 65, 500)]
+    got = spark.createDataFrame([(x,) for x in rows], "v array<int>").select("v", chunking.sums_before(F.col("v")).alias("s")).collect()
+    assert all(x.s == [sum(x.v[:i]) for i in range(len(x.v))] for x in got)
+
+
+def test_sentences_of_long_texts(spark):
+    text = "".join(f"Sentence {i} is here{'.!?'[i % 3]} " for i in range(4000))
+    got = spark.createDataFrame([(1, text)], "k int, text string").select(chunking.sentence_spans(F.col("text")).alias("s")).first().s
+    assert [text[x.start : x.end] for x in got] == [f"Sentence {i} is here{'.!?'[i % 3]}" for i in range(4000)]
 
 
 def test_chunk_places(spark):
