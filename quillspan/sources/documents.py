@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from html import escape
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,51 @@ def read_table_documents(spark: SparkSession, path: str, doc_id: str = "doc_id",
     return spark.read.parquet(path).select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
 
 
+#: How bulk import names the columns of nodes and edges.
+IMPORT_NAMES = {
+    "nodes": {"id": "id:ID", "group": ":LABEL", "label": "label", "title": "title"},
+    "edges": {"src": ":START_ID", "dst": ":END_ID", "kind": ":TYPE", "label": "label", "title": "title", "color": "color", "trait_label": "trait_label"},
+}
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The scalable sink: nodes and edges as tables under `path`, in Parquet, JSON or CSV."""
+    """The scalable sink: nodes and edges as tables under `path`, in Parquet, JSON or CSV, or as "import", CSV with the headers of a property graph's bulk import."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        if fmt == "import":
+            df = df.select(*[F.col(c).alias(told) for c, told in IMPORT_NAMES[name].items() if c in df.columns])
+        kind = "csv" if fmt == "import" else fmt
+        df.write.mode("overwrite").format(kind).options(**({"header": "true", "escape": '"'} if kind == "csv" else {})).save(f"{path}/{name}")
+
+
+def _small(nodes: DataFrame, edges: DataFrame, most: int) -> list[list[dict]]:
+    """The rows of a graph that the driver may hold."""
+    out = []
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(f"{path}/{name}")
+        out.append([r.asDict() for r in df.limit(most + 1).collect()])
+        if len(out[-1]) > most:
+            raise ValueError(f"more than {most} {name}: write_graph() is the sink for large graphs")
+    return out
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, most: int = 5000) -> str:
+    """Writes a small graph as GEXF and returns its path; a driver-side sink as draw_html()."""
+    root = ElementTree.Element("gexf", xmlns="http://gexf.net/1.3", version="1.3")
+    graph = ElementTree.SubElement(root, "graph", defaultedgetype="directed")
+    kinds = (("node", ("group", "title")), ("edge", ("kind", "title", "color")))
+    for (kind, fields), rows in zip(kinds, _small(nodes, edges, most), strict=True):
+        names = ElementTree.SubElement(graph, "attributes", {"class": kind})
+        for f in fields:
+            ElementTree.SubElement(names, "attribute", id=f, title=f, type="string")
+        items = ElementTree.SubElement(graph, f"{kind}s")
+        for i, r in enumerate(rows):
+            ends = {"id": r["id"]} if kind == "node" else {"id": str(i), "source": r["src"], "target": r["dst"]}
+            item = ElementTree.SubElement(items, kind, ends | {"label": r.get("label") or ""})
+            values = ElementTree.SubElement(item, "attvalues")
+            for f in fields:
+                if r.get(f) is not None:
+                    ElementTree.SubElement(values, "attvalue", {"for": f, "value": r[f]})
+    ElementTree.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+    return path
 
 
 #: Page geometry and the physics of the drawing.
@@ -52,12 +94,7 @@ def draw_html(nodes: DataFrame, edges: DataFrame, out_html: str = "kg_graph.html
 
     This is a driver-side sink for small graphs: with more than `most` nodes or edges it raises; use write_graph() then.
     """
-    drawn = []
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        rows = [r.asDict() for r in df.limit(most + 1).collect()]
-        if len(rows) > most:
-            raise ValueError(f"more than {most} {name}: write_graph() is the sink for large graphs")
-        drawn.append(json.dumps(rows).replace("<", "\\u003c"))
+    drawn = [json.dumps(rows).replace("<", "\\u003c") for rows in _small(nodes, edges, most)]
     page = f"<!doctype html><meta charset=utf-8><title>{escape(out_html)}</title><style>body{{margin:0}}canvas{{width:100%;height:{PAGE['height']}px}}</style><canvas></canvas><script>{_SCRIPT % (json.dumps(PAGE), *drawn)}</script>"
     with open(out_html, "w", encoding="utf-8") as f:
         f.write(page)

@@ -1,6 +1,7 @@
 """Hand-computed cases of each operator."""
 
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from quillspan.functions import jsonx, text as tx
 from quillspan.operators import chunking, components, extract, graph, reduce, relations, resolve, traits
 from quillspan.operators.numbering import numbered
 from quillspan.plans.pipeline import run_pipeline
-from quillspan.sources.documents import draw_html, read_text_documents, write_graph
+from quillspan.sources.documents import draw_html, read_text_documents, write_gexf, write_graph
 
 
 def one(spark, expr):
@@ -260,6 +261,13 @@ def test_graph_and_sinks(spark, tmp_path):
     assert "Ann" in open(page).read()
     with pytest.raises(ValueError):
         draw_html(nodes, edges, str(tmp_path / "g.html"), most=1)
+    told = ElementTree.parse(write_gexf(nodes, edges, str(tmp_path / "g.gexf"))).getroot()
+    space = {"g": "http://gexf.net/1.3"}
+    assert {n.get("label") for n in told.findall(".//g:node", space)} == {"Ann", "Openness"}
+    assert sorted((e.get("source"), e.get("target")) for e in told.findall(".//g:edge", space)) == [("e0", "e0"), ("e0", "e0"), ("e0", "trait::Openness")]
+    write_graph(nodes, edges, str(tmp_path / "import"), "import")
+    rows = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(str(tmp_path / "import" / "edges"))
+    assert rows.columns[:3] == [":START_ID", ":END_ID", ":TYPE"] and rows.count() == 3
     for fmt in ("parquet", "json", "csv"):
         write_graph(nodes.select("id", "label"), edges, str(tmp_path / fmt), fmt)
         assert spark.read.format(fmt).options(header="true").load(str(tmp_path / fmt / "nodes")).count() == 2
