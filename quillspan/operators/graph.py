@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RELATION_COLOR, TRAIT_COLOR = "#8899ff", "#33aa66"
+RELATION_COLOR, TRAIT_COLOR, EVENT_COLOR = "#8899ff", "#33aa66", "#cc8844"
 
 
 def graph_nodes(entities_canonical: DataFrame, trait_edges: DataFrame) -> DataFrame:
@@ -38,3 +38,17 @@ def graph_edges(nodes: DataFrame, relations: DataFrame, trait_edges: DataFrame,
         F.concat(F.lit("n_evidence: "), "n_evidence").alias("title"), F.lit(TRAIT_COLOR).alias("color"), F.lit("trait").alias("kind"), F.col("label").alias("trait_label"),
     )
     return between(rel).unionByName(between(trait))
+
+
+def event_nodes(events: DataFrame) -> DataFrame:
+    """Events as nodes of their own, for those who want them in the graph: (id, label, group, title)."""
+    return events.select("id", F.col("type").alias("label"), F.lit("Event").alias("group"), F.col("source_label").alias("title"))
+
+
+def event_edges(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """An edge from each event to each participant that is a node, labelled with its role; columns as graph_edges()."""
+    ends = events.select(F.col("id").alias("src"), F.explode("participants_global").alias("p"))
+    rows = ends.select("src", F.col("p.entity_id").alias("dst"), F.col("p.role").alias("label"))
+    none = F.lit(None).cast("string")
+    known = rows.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return known.select("src", "dst", "label", none.alias("title"), F.lit(EVENT_COLOR).alias("color"), F.lit("event").alias("kind"), none.alias("trait_label"))

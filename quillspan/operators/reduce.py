@@ -11,7 +11,9 @@ TAU_SCORE, TAU_CONF, TOP = 0.65, 0.60, 3
 
 
 def _fuse(rows: DataFrame, keys: Sequence[str | Column], order: str) -> DataFrame:
-    """One row per key: the first row's fields, all supports in order (repeats kept), the largest confidence, 0 at least."""
+    """One row per key: the first row's fields, all supports in order (repeats kept), the largest confidence, 0 at least.
+
+    A fused row holds all its supports, as its readers expect; they are gathered as spans of a few numbers, not with their texts."""
     named = [k if isinstance(k, str) else f"_k{i}" for i, k in enumerate(keys)]
     for n, k in zip(named, keys, strict=True):
         rows = rows if isinstance(k, str) else rows.withColumn(n, k)

@@ -17,9 +17,9 @@ log = logging.getLogger("quillspan")
 
 def run_pipeline(
     docs: DataFrame, backend: Backend | None = None, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, concurrency: int | None = None, event_key: str = "local",
-    key_polarity: bool = False, dedupe: bool = False, use_negation: bool = False, only_has_trait: bool = False, strict: bool = False,
+    key_polarity: bool = False, dedupe: bool = False, use_negation: bool = False, only_has_trait: bool = False, strict: bool = False, with_events: bool = False,
 ) -> dict[str, DataFrame]:
-    """The tables of every stage by name.
+    """The tables of every stage by name. Events stay out of the graph, unless `with_events` makes them nodes.
 
     Chunks, replies and resolved ids are written to the shared folder when a stage ends, so that no reply is asked for twice and all
     tables tell the same; each end is logged. Rows without an accepted reply are rows of `errors`; with `strict` the first one raises StageFailed.
@@ -48,6 +48,8 @@ def run_pipeline(
     trait_edges = reducers.beta_posterior(evidence)
     nodes = graph.graph_nodes(canonical, trait_edges)
     edges = graph.graph_edges(nodes, fused, trait_edges, only_has_trait)
+    if with_events:
+        nodes, edges = nodes.unionByName(graph.event_nodes(fused_events)), edges.unionByName(graph.event_edges(nodes, fused_events))
     errors = reduce(DataFrame.unionByName, [errors1, errors2, errors3, errors4, errors5])
     return {
         "chunks": chunks, "entities": entities, "entities_canonical": canonical, "coref": coref, "relations": rels, "events": events, "windows": windows, "evidence": evidence,

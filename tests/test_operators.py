@@ -128,6 +128,18 @@ def test_candidate_pairs_lose_no_score_above_the_bound(spark):
     assert sorted(map(tuple, every.select("a_norm", "b_norm").collect())) == [(x, y) for i, x in enumerate(norms) for y in norms[i + 1 :] if x[0] == y[0]]
 
 
+def test_events_as_nodes(spark):
+    docs = spark.createDataFrame([("a", STORY)], "doc_id string, text string")
+    plain, more = (run_pipeline(docs, size=300, overlap=100, with_events=x) for x in (False, True))
+    events = {r.id: {(p.role, p.entity_id) for p in r.participants_global} for r in more["events_fused"].collect()}
+    assert events and plain["nodes"].where("group = 'Event'").count() == 0
+    assert {r.id for r in more["nodes"].where("group = 'Event'").collect()} == set(events)
+    told = {}
+    for r in more["edges"].where("kind = 'event'").collect():
+        told.setdefault(r.src, set()).add((r.label, r.dst))
+    assert told == events and more["edges"].where("kind != 'event'").count() == plain["edges"].count()
+
+
 def test_wrong_tables_and_windows(spark):
     with pytest.raises(ValueError, match="name must be string, not missing"):
         resolve.resolve_entities(spark.createDataFrame([("c", "e", "t")], "chunk_id string, id string, type string"))
