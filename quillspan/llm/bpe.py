@@ -24,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, wider
+from .bytes_np import flat, groups
+from .common import freed, packed, unpacked, wider
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBER = 400_000
-#: Pieces that are gathered, and ids that are decoded, at a time.
-GROUP = 200_000
+REMEMBER = 200_000
+#: Pieces that are gathered, and ids that are decoded, at a time; bytes of texts that make up a batch.
+GROUP, BATCH = 200_000, 4_000_000
 _CODECS: dict[str, Codec] = {}
 
 
@@ -159,7 +160,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, cutter = codec(path), regex.compile(pattern)
-        for b in batches:
+        for b in (big.slice(i, j - i) for big in batches for i, j in groups(flat(big.column(1))[1], BATCH)):
             ids, spans, lengths, ends, counts = [], [], [], [], []
             done = 0
             for pieces, stops in _pieces(b.column(1).to_pylist(), cutter):
@@ -185,7 +186,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", o
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["row", *made])
 
     ddl = "ids array<int>" + ", offsets array<struct<start: int, end: int>>" * offsets + ", decoded binary" * decoded
-    return unpacked(given.mapInArrow(run, wider(rest, ddl)), rest.columns, *made)
+    return unpacked(given.mapInArrow(freed(run), wider(rest, ddl)), rest.columns, *made)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -196,4 +197,4 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             lists = b.column(0).field(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), _decode_lists(c, lists)], ["row", "decoded"])
 
-    return unpacked(packed(encoded).mapInArrow(run, wider(encoded, "decoded binary")), encoded.columns, "decoded")
+    return unpacked(packed(encoded).mapInArrow(freed(run), wider(encoded, "decoded binary")), encoded.columns, "decoded")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -14,6 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives memory that it no longer uses back to the system: it lives on beside others."""
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc alone has it
+            trim(0)
+
+    return whole
+
+
 def id_key(col: str | Column = "doc_id") -> Column:
     """The id as a long that orders nulls first and joins without null-safe comparison."""
     c = F.col(col) if isinstance(col, str) else col

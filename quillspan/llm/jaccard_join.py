@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .bytes_np import flat, groups, mix, runs_of, words
-from .common import NULL_ID, cut, id_key, packed, release, unpacked
+from .common import NULL_ID, cut, freed, id_key, packed, release, unpacked
 
 BINS = 128
 #: Agreement of embeddings from which two sets are candidates: five standard deviations below a similarity of 0.8.
@@ -359,12 +359,15 @@ def _dealt(given: DataFrame, starts: np.ndarray, threshold: float, depth: int, s
                             row, path, x, y = row[at], path[at], np.minimum(own[at], other), np.maximum(own[at], other)
                         if len(row):
                             at = pa.array(row + i)
-                            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), b.column("v").take(at), b.column("sig").take(at)], ["path", "x", "y", "v", "sig"])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(path), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), b.column("v").take(at), b.column("sig").take(at)],
+                                ["path", "x", "y", "v", "sig"]
+                            )
 
     for _ in range(depth):
         told = given.sparkSession.sparkContext.broadcast((large, sums))
         # Sums are taken before the shuffle; a path says the same of a bucket's size to all its sets.
-        hot = cut(given.select("sig").mapInArrow(counts, "path long, n long").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") > small))
+        hot = cut(given.select("sig").mapInArrow(freed(counts), "path long, n long").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") > small))
         n = hot.limit(BROADCAST_PATHS + 1).count()
         found = hot.orderBy("path").toArrow() if 0 < n <= BROADCAST_PATHS else None
         release(hot)
@@ -375,7 +378,7 @@ def _dealt(given: DataFrame, starts: np.ndarray, threshold: float, depth: int, s
         if not n:
             break
     told = given.sparkSession.sparkContext.broadcast((large, sums))
-    return given.mapInArrow(rows, KIND)
+    return given.mapInArrow(freed(rows), KIND)
 
 
 def _dealt_by_join(given: DataFrame, starts: np.ndarray, threshold: float, depth: int, small: int, used: list[DataFrame]) -> DataFrame:
@@ -418,7 +421,7 @@ def candidate_groups(sets: DataFrame, threshold: float, recall: float, depth: in
     given = sets.select("v", "sig")
     used: list[DataFrame] = []
     rows = _dealt(given, starts, threshold, depth, small) or _dealt_by_join(given, starts, threshold, depth, small, used)
-    stars = rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y", "v").mapInArrow(_stars, "v binary, up binary")
+    stars = rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y", "v").mapInArrow(freed(_stars), "v binary, up binary")
     ups = cut(stars.groupBy("v").agg(F.array_sort(F.collect_set("up")).alias("ups")))
     release(*used)
     out = None
@@ -447,7 +450,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, rec
 
     from pyspark.sql.types import StructType
 
-    signed = cut(base.mapInArrow(sign, StructType([base.schema["_raw"], *StructType.fromDDL("_id long, _th long, v binary, sig binary, size long").fields])))
+    signed = cut(base.mapInArrow(freed(sign), StructType([base.schema["_raw"], *StructType.fromDDL("_id long, _th long, v binary, sig binary, size long").fields])))
     # One row for each set, with the document that stands for it and how many different texts have it.
     texts = signed.where("v is not null").groupBy("v", "_th").agg(F.min("_id").alias("_id"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     sets = cut(texts.groupBy("v").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.count(F.lit(1)).alias("texts")))
@@ -469,9 +472,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words_in: int = 5, rec
         wanted = wanted.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
         # Repeated rows are read once.
         once = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
-        whole = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"]).withColumn("_once", once).where("_once = 1").select(*names, "_text").mapInArrow(read, "v binary, g binary, texts long, block int, blocks int, s binary")
-        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "v", "texts", "s")
-        counted = dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "v").mapInArrow(_exact(threshold), "v binary, up binary, links long")
+        whole = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"]).withColumn("_once", once).where("_once = 1").select(*names, "_text").mapInArrow(
+            freed(read), "v binary, g binary, texts long, block int, blocks int, s binary"
+        )
+        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "v", "texts", "s"
+        )
+        counted = dealt.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "v").mapInArrow(freed(_exact(threshold)), "v binary, up binary, links long")
         exact = cut(counted.groupBy("v").agg(F.sum("links").alias("links"), F.array_sort(F.collect_set("up")).alias("ups")))
         found = joined(exact.select("v", "ups"))
         linked = exact.select("v", "links").join(found, "v")

@@ -82,14 +82,14 @@ def _press(values: np.ndarray) -> bytes:
     return pa.compress(pack(values, 6), codec="zstd", asbytes=True)
 
 
-def _freed(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+def _opened(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
     return unpack(pa.decompress(data, n * 6, codec="zstd", asbytes=True), kind, 6)
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sums n and t of a bucket's n-grams of one length, and where in them each that came is."""
     many = table.column("many").to_pylist()
-    keys, n, t = (np.concatenate([_freed(x, m, kind) for x, m in zip(table.column(c).to_pylist(), many, strict=True)]) for c, kind in (("h", np.uint64), ("n", np.int64), ("t", np.int64)))
+    keys, n, t = (np.concatenate([_opened(x, m, kind) for x, m in zip(table.column(c).to_pylist(), many, strict=True)]) for c, kind in (("h", np.uint64), ("n", np.int64), ("t", np.int64)))
     # Keys came as differences, from 0 in each block.
     at = np.cumsum(many) - many
     keys = np.cumsum(keys, dtype=np.uint64)
@@ -123,7 +123,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: floa
     Result: the id, n_tokens (words), target_loss, background_loss (nats per word, the end counted as one), lm_score (their difference), kept."""
     blocks = max(1, -(-text_bytes(docs, text) // BLOCK))
     texts = docs.select(F.col(doc_id), id_key(doc_id).alias("_id"), text_or_empty(text).alias("_text"), F.lit(False).alias("_label"), F.col(doc_id).isNotNull().alias("_named"))
-    good = labels.where("quality = 1 and doc_id is not null").select(F.lit(None).cast(docs.schema[doc_id].dataType).alias(doc_id), id_key("doc_id").alias("_id"), F.lit("").alias("_text"), F.lit(True).alias("_label"), F.lit(True).alias("_named"))
+    good = labels.where("quality = 1 and doc_id is not null").select(
+        F.lit(None).cast(docs.schema[doc_id].dataType).alias(doc_id), id_key("doc_id").alias("_id"), F.lit("").alias("_text"), F.lit(True).alias("_label"),
+        F.lit(True).alias("_named")
+    )
     unnamed = F.when(~F.col("_named"), F.col("_text"))
     base = dealt(texts.union(good).withColumn("_block", F.pmod(F.xxhash64("_id", unnamed), F.lit(blocks)).cast("int")))
 
@@ -154,7 +157,14 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: floa
             if part.num_rows:
                 n, t, where = _summed(part)
                 cells = np.split(where, np.cumsum(part.column("many").to_numpy())[:-1])
-                out.append(pa.table({"_block": part.column("block"), "bucket": part.column("bucket"), "k": part.column("k"), "n": pa.array([_press(n[c]) for c in cells], pa.binary()), "t": pa.array([_press(t[c]) for c in cells], pa.binary())}))
+                out.append(
+                    pa.table(
+                        {
+                            "_block": part.column("block"), "bucket": part.column("bucket"), "k": part.column("k"),
+                            "n": pa.array([_press(n[c]) for c in cells], pa.binary()), "t": pa.array([_press(t[c]) for c in cells], pa.binary())
+                        }
+                    )
+                )
         return pa.concat_tables(out)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -174,7 +184,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, threshold: floa
                 many = np.diff(np.append(first, len(keys)))
                 own = np.repeat(many, many)
                 kind = np.cumsum(new) - 1
-                sums = [np.concatenate(x) for x in zip(*([_freed(x, j - i) for x in told[k, b]] for b, i, j in _parts(keys[new], blocks)), strict=True)]
+                sums = [np.concatenate(x) for x in zip(*([_opened(x, j - i) for x in told[k, b]] for b, i, j in _parts(keys[new], blocks)), strict=True)]
                 for out, total_of, mine in zip(counts, reversed(sums), (g.target[doc], 1), strict=True):
                     at = np.empty(len(keys))
                     at[order] = total_of[kind] - own * mine

@@ -120,7 +120,10 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Repeated rows give their head once.
     moved = moved.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).where("_nth = 1")
     moved = with_tree(moved, "_text", "o_")
-    heads = moved.select(F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"), F.col("o_leaves").alias("n_leaves"), F.col("o_root").alias("n_root"))
+    heads = moved.select(
+        F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"),
+        F.col("o_leaves").alias("n_leaves"), F.col("o_root").alias("n_root")
+    )
     both = with_tree(base.join(heads, ["_id", "_th"]).withColumn("n_chars", F.length("_text").cast("long")), "_text", "o_")
     both = both.withColumn("doc_id", F.when(F.col("_id") != NULL_ID, F.col("_id")).cast(docs.schema[doc_id].dataType))
     both = both.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("_head")))

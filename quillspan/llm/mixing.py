@@ -59,7 +59,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     return out
 
 
-def mixing_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 17, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def mixing_plan(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_rate: float = 2.0, seed: int = 17, source: str = "source",
+    text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
     """The columns of `docs` and a struct `_mix` (size, source_size, target, rate, copies)."""
     size = count_words(F.col(text))
     targets = source_targets(docs.select(F.col(source).alias("source"), size.alias("size")), weights, share, max_rate)
@@ -71,7 +74,10 @@ def mixing_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     rate = F.when(F.col("_t.source_size") > 0, F.col("_t.target") / F.col("_t.source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("_rate", rate)
     once_more = (coin(seed, row.getField(doc_id), row.getField(text)) < F.col("_rate") - F.floor("_rate")).cast("long")
-    mix = F.struct(F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), F.col("_rate").alias("rate"), (F.floor("_rate") + once_more).alias("copies"))
+    mix = F.struct(
+        F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), F.col("_rate").alias("rate"),
+        (F.floor("_rate") + once_more).alias("copies")
+    )
     return unpacked(out.withColumn("_mix", mix), docs.columns, "_mix")
 
 

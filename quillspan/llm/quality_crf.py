@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import flat, groups, inside_texts, mix, runs_of, words
-from .common import WORD, cut, id_key, packed, unpacked, wider
+from .common import WORD, cut, freed, id_key, packed, unpacked, wider
 
 MAX_TRAIN, MAX_LINES = 4_000, 200
 #: Common lines are broadcast up to so many, else joined by shuffle.
@@ -113,7 +113,12 @@ class Lines:
             cells = np.maximum(np.add.reduceat(ends - starts, first_word), 1)
             x[:, 0] = 1
             edges = np.stack([self.begin, self.end], axis=1).ravel()
-            kinds = np.bincount(np.repeat(np.arange(2 * m) % 2 * m * 8 + np.arange(2 * m) // 2 * 8, np.diff(np.append(edges, self.end[-1]))) + KIND[buf[edges[0] : self.end[-1]]], minlength=m * 8)[: m * 8]
+            kinds = np.bincount(
+                np.repeat(
+                    np.arange(2 * m) % 2 * m * 8 + np.arange(2 * m) // 2 * 8, np.diff(np.append(edges, self.end[-1]))
+                ) + KIND[buf[edges[0] : self.end[-1]]],
+                minlength=m * 8
+            )[: m * 8]
             x[:, 1:8] = kinds.reshape(m, 8)[:, 1:] / cells[:, None]
             lone = (ends - starts == 1) & IS_MARK[buf[starts]]
             x[:, 15] = np.add.reduceat(lone.astype(float), first_word) / words_in
@@ -265,7 +270,13 @@ def common_lines(docs: DataFrame, at_least: int = 3, text: str = "text") -> Comm
     lines = docs.select(F.split(text, "\n", -1).alias("l")).where(F.size("l") > 0)
     hashed = lines.select("l", F.transform("l", lambda x: F.xxhash64(x)).alias("h"))
     at = lambda i: F.coalesce(F.get("h", i), F.lit(0))
-    rows = hashed.select(F.explode(F.transform("l", lambda x, i: F.struct(F.get("h", i).alias("h"), at(i - 1).alias("before"), at(i + 1).alias("after"), x.rlike(WORD).alias("filled")))).alias("r")).select("r.*").where("filled")
+    rows = hashed.select(
+        F.explode(
+            F.transform(
+                "l", lambda x, i: F.struct(F.get("h", i).alias("h"), at(i - 1).alias("before"), at(i + 1).alias("after"), x.rlike(WORD).alias("filled"))
+            )
+        ).alias("r")
+    ).select("r.*").where("filled")
     sums = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after") for f in (F.min, F.max)])
     table = cut(sums.where((F.col("n") >= at_least) & ((F.col("min_before") != F.col("max_before")) | (F.col("min_after") != F.col("max_after")))).select("h"))
     if table.limit(BROADCAST_LINES + 1).count() > BROADCAST_LINES:
@@ -283,7 +294,11 @@ def train_crf(docs: DataFrame, labels: DataFrame, common: Common = NO_LINES, max
     """Fits the CRF on a bounded sample of labelled documents; the driver gets the features of max_train * max_lines lines at most."""
     sample = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.min("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("_l"), "_l").limit(max_train)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_l")).select(F.struct(F.col("quality").cast("int").alias("quality"), id_key("doc_id").alias("id"), "text").alias("row"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_l")).select(
+        F.struct(
+            F.col("quality").cast("int").alias("quality"), id_key("doc_id").alias("id"), "text"
+        ).alias("row")
+    )
     hashes = docs.sparkSession.sparkContext.broadcast(common.hashes)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +313,7 @@ def train_crf(docs: DataFrame, labels: DataFrame, common: Common = NO_LINES, max
                 out.append(x[at : at + max_lines].tobytes())
             yield pa.RecordBatch.from_arrays([rows.field("quality"), pa.array(out, pa.binary())], ["quality", "x"])
 
-    got = common.told(picked, F.col("row.text")).mapInArrow(features, "quality int, x binary").toArrow()
+    got = common.told(picked, F.col("row.text")).mapInArrow(freed(features), "quality int, x binary").toArrow()
     pairs = sorted(zip(got.column("quality").to_pylist(), got.column("x").to_pylist(), strict=True), key=lambda p: (p[1], p[0]))
     xs = [np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)) for _, b in pairs]
     if not xs or not sum(map(len, xs)):
@@ -317,7 +332,12 @@ def judge_quality(docs: DataFrame, crf: CRF, common: Common = NO_LINES, min_word
     """Adds a struct _quality: the base figures, base_failed, the number of labelled lines, content words, content_share,
     kept, and the labels (array<tinyint>, one for each line with a word; 0 content, 1 boilerplate)."""
     model = docs.sparkSession.sparkContext.broadcast((crf, common.hashes))
-    kind = pa.struct([*((f, pa.int64()) for f in _FIELDS), ("base_failed", pa.bool_()), ("n_lines", pa.int64()), ("content_words", pa.int64()), ("content_share", pa.float64()), ("kept", pa.bool_()), ("labels", pa.list_(pa.int8()))])
+    kind = pa.struct(
+        [
+            *((f, pa.int64()) for f in _FIELDS), ("base_failed", pa.bool_()), ("n_lines", pa.int64()), ("content_words", pa.int64()),
+            ("content_share", pa.float64()), ("kept", pa.bool_()), ("labels", pa.list_(pa.int8()))
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf, hashes = model.value
@@ -334,10 +354,12 @@ def judge_quality(docs: DataFrame, crf: CRF, common: Common = NO_LINES, min_word
                 share = content / np.maximum(g.n_words, 1)
                 failed = (g.n_words < min_words) | (100 * g.n_repeat_words > 50 * g.n_words)
                 labels = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lines)).astype(np.int32)), pa.array(label))
-                cols = [pa.array(getattr(g, f).astype(np.int64)) for f in _FIELDS] + [pa.array(failed), pa.array(lines.astype(np.int64)), pa.array(content), pa.array(share), pa.array(~failed & (share >= min_content)), labels]
+                cols = [pa.array(getattr(g, f).astype(np.int64)) for f in _FIELDS] + [
+                    pa.array(failed), pa.array(lines.astype(np.int64)), pa.array(content), pa.array(share), pa.array(~failed & (share >= min_content)), labels
+                ]
                 parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
             out = pa.concat_arrays(parts) if parts else pa.array([], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), out], ["row", "_quality"])
 
     ddl = ", ".join([*(f"{f}: bigint" for f in _FIELDS), "base_failed: boolean, n_lines: bigint, content_words: bigint, content_share: double, kept: boolean, labels: array<tinyint>"])
-    return unpacked(common.told(packed(docs), F.col("row").getField(text)).mapInArrow(run, wider(docs, f"_quality struct<{ddl}>")), docs.columns, "_quality")
+    return unpacked(common.told(packed(docs), F.col("row").getField(text)).mapInArrow(freed(run), wider(docs, f"_quality struct<{ddl}>")), docs.columns, "_quality")

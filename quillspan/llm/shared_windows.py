@@ -158,7 +158,10 @@ def split_hot(seq: Sequences, length: int, k: int, found: tuple, hot: np.ndarray
     for x in [*range(0, core - k, k), core - k]:
         keys = mix(keys * np.uint64(3) + grams_at(seq, k, begin + x))
     cold = ~is_hot
-    out = (np.concatenate([first[cold], start[head]]), np.concatenate([n[cold], np.diff(np.append(head, len(own)))]), np.concatenate([h[cold], keys & SENT]), np.concatenate([of[cold], text[own[head]]]))
+    out = (
+        np.concatenate([first[cold], start[head]]), np.concatenate([n[cold], np.diff(np.append(head, len(own)))]), np.concatenate([h[cold], keys & SENT]),
+        np.concatenate([of[cold], text[own[head]]])
+    )
     order = np.argsort(out[0], kind="stable")
     return tuple(x[order] for x in out)
 
@@ -256,7 +259,13 @@ def remove_shared(
         h, multi = _twice(h, ids[of])
         order, parts = _split(h >> np.uint64(8), blocks)
         h, multi = h[order], multi[order]
-        return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([key[0].as_py()] * len(parts), pa.int32()), "h": pa.array([pack(h[i:j], 6) for _, i, j in parts], pa.binary()), "multi": pa.array([np.packbits(multi[i:j]).tobytes() for _, i, j in parts], pa.binary())})
+        return pa.table(
+            {
+                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([key[0].as_py()] * len(parts), pa.int32()),
+                "h": pa.array([pack(h[i:j], 6) for _, i, j in parts], pa.binary()),
+                "multi": pa.array([np.packbits(multi[i:j]).tobytes() for _, i, j in parts], pa.binary())
+            }
+        )
 
     def shared_anchors(table: pa.Table) -> pa.Table:
         hs = _all(table, "h", np.uint64, 6)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import flat, groups, mix, words
-from .common import packed, unpacked, wider
+from .common import freed, packed, unpacked, wider
 
 #: Clusters of toxic texts that are categories before the label.
 KINDS = 2
@@ -182,7 +182,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     if not size["n"] or size["pos"] in (0, size["n"]):
         return fit_chain([], np.zeros(0), **how)
     total, pos = float(size["n"]), float(size["pos"])
-    counts = texts.mapInArrow(_count, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counts = texts.mapInArrow(freed(_count), "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     p1, p0, pool = (F.col("pos") + 0.5) / (pos + 1), (F.col("n") - F.col("pos") + 0.5) / (total - pos + 1), (F.col("n") + 1) / (total + 2)
     z = F.abs(p1 - p0) / F.sqrt(pool * (1 - pool) * (1 / pos + 1 / (total - pos)))
     chosen = counts.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(n_features).toArrow()
@@ -190,9 +190,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([np.intersect1d(x, vocabulary, assume_unique=True).tobytes() for x in word_ids(b.column("text"))], pa.binary())], ["toxic", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic"), pa.array([np.intersect1d(x, vocabulary, assume_unique=True).tobytes() for x in word_ids(b.column("text"))], pa.binary())],
+                ["toxic", "ids"]
+            )
 
-    got = texts.mapInArrow(gather, "toxic int, ids binary").toArrow()
+    got = texts.mapInArrow(freed(gather), "toxic int, ids binary").toArrow()
     pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("ids").to_pylist(), strict=True), key=lambda p: (p[1], p[0]))
     return fit_chain([np.frombuffer(b, np.uint64) for _, b in pairs], np.array([t for t, _ in pairs]), n_features=n_features, vocabulary=vocabulary, **how)
 
@@ -205,10 +208,10 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None
     kind = pa.struct([*((f, pa.float64()) for f in fields), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (big.slice(i, 2000) for big in batches for i in range(0, big.num_rows, 2000)):
             p = model.value.apply(b.column(0).field(text))
             cols = [pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(fields))] + [pa.array(p[:, -1] >= threshold)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, fields=list(kind))], ["row", "_toxicity"])
 
     ddl = ", ".join([*(f"{f}: double" for f in fields), "rejected: boolean"])
-    return unpacked(packed(docs).mapInArrow(run, wider(docs, f"_toxicity struct<{ddl}>")), docs.columns, "_toxicity")
+    return unpacked(packed(docs).mapInArrow(freed(run), wider(docs, f"_toxicity struct<{ddl}>")), docs.columns, "_toxicity")
