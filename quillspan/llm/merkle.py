@@ -110,29 +110,32 @@ def following(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they and the next document's are.
 
-    The text is dealt once, by document; of each text only the head that its neighbour's edit takes and the leaf
-    hashes move on.
+    The text is dealt once, by document; of each text only the head that its neighbour's edit takes moves on. Trees are built
+    once and written down without the texts; the leaf hashes then go to the neighbour.
     """
     # Both sides of the join read this one exchange: the id comes back from its key, so that their columns are the same.
     base = docs.select(text_or_empty(text).alias("_text"), id_key(doc_id).alias("_id"))
     base = base.withColumn("_th", F.xxhash64("_text"))
-    moved = base.join(following(docs, doc_id, text), ["_id", "_th"])
+    link = following(docs, doc_id, text)
+    moved = base.join(link, ["_id", "_th"])
     # Repeated rows give their head once.
     moved = moved.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).where("_nth = 1")
-    moved = with_tree(moved, "_text", "o_")
-    heads = moved.select(
-        F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"),
-        F.col("o_leaves").alias("n_leaves"), F.col("o_root").alias("n_root")
-    )
+    heads = moved.select(F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), F.expr("substring(_text, 1, cast(floor(_for_n / 3) as int))").alias("_head"))
     both = with_tree(base.join(heads, ["_id", "_th"]).withColumn("n_chars", F.length("_text").cast("long")), "_text", "o_")
     both = both.withColumn("doc_id", F.when(F.col("_id") != NULL_ID, F.col("_id")).cast(docs.schema[doc_id].dataType))
     both = both.withColumn("_edited", F.concat(F.expr("substring(_text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("_head")))
     both = with_tree(both, "_edited", "e_")
     like = lambda a, b, x, y: F.when(F.col(x) == F.col(y), F.lit(1.0)).otherwise(likeness(F.col(a), F.col(b)))
-    return both.select(
-        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("o_root").alias("fingerprint"), F.col("e_root").alias("edited_fingerprint"),
-        like("o_leaves", "e_leaves", "o_root", "e_root").alias("near_edited"), like("o_leaves", "n_leaves", "o_root", "n_root").alias("near_next"),
+    told = cut(both.select(
+        "_id", "_th", "o_leaves", "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("o_root").alias("fingerprint"),
+        F.col("e_root").alias("edited_fingerprint"), like("o_leaves", "e_leaves", "o_root", "e_root").alias("near_edited"),
         F.size("o_paragraphs").cast("long").alias("n_paragraphs"), F.size("o_sections").cast("long").alias("n_sections"),
         first_edit(F.col("o_sections"), F.col("o_paragraphs"), F.col("e_sections"), F.col("e_paragraphs")).alias("edit_paragraph"),
         F.size("o_leaves").cast("long").alias("n_leaves"), first_leaf(F.col("o_leaves"), F.col("e_leaves")).alias("edit_leaf"),
+    ))
+    trees = told.groupBy("_id", "_th").agg(F.first("o_leaves").alias("_leaves"), F.first("fingerprint").alias("_root"))
+    nexts = trees.join(link, ["_id", "_th"]).select(F.col("_for_id").alias("_id"), F.col("_for_th").alias("_th"), "_leaves", "_root")
+    return told.join(nexts, ["_id", "_th"]).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", like("o_leaves", "_leaves", "fingerprint", "_root").alias("near_next"),
+        "n_paragraphs", "n_sections", "edit_paragraph", "n_leaves", "edit_leaf",
     )
