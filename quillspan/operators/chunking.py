@@ -118,13 +118,13 @@ def split_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, d
     return found.select(F.concat_ws("_", "doc_id", "chunk_no").alias("chunk_id"), "doc_id", "chunk_no", "text", "start_idx", "end_idx", "true_start")
 
 
-def _parts(text: Column) -> Column:
+def parts_of(text: Column) -> Column:
     """Boundaries become a control character, which is split at."""
     marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01", "\ufffd"), "(?U)" + BOUNDARY, "$1\x01")
     return F.split(marked, "\x01", -1)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -137,10 +137,19 @@ def sums_before(values: Column, block: int = 64) -> Column:
     def by_blocks(v: Column) -> Column:
         last = whole(F.size(v) - 1)
         sums = F.transform(F.sequence(F.lit(0), last), lambda b: plus(F.slice(v, b * block + 1, F.lit(block))))
-        before = _let(sums, lambda t: F.transform(F.sequence(F.lit(0), last), lambda b: plus(F.slice(t, F.lit(1), b))))
-        return _let(before, lambda t: F.transform(v, lambda _, i: F.get(t, whole(i)) + plus(F.slice(v, whole(i) * block + 1, i % block))))
+        before = let(sums, lambda t: F.transform(F.sequence(F.lit(0), last), lambda b: plus(F.slice(t, F.lit(1), b))))
+        return let(before, lambda t: F.transform(v, lambda _, i: F.get(t, whole(i)) + plus(F.slice(v, whole(i) * block + 1, i % block))))
 
-    return _let(values, by_blocks)
+    return let(values, by_blocks)
+
+
+def numbered_spans(parts: Column) -> Column:
+    """array<struct<sent_id, start, end, part>>: the sentences among the parts of a text, each with the index of its part."""
+    starts = sums_before(F.transform(parts, lambda p: F.length(p)))
+    found = F.zip_with(parts, starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(rtrim_ws(p))).alias("end")))
+    placed = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("part")))
+    filled = F.filter(placed, lambda x: x["end"] > x["start"])
+    return F.transform(filled, lambda x, i: F.struct(i.alias("sent_id"), x["start"].alias("start"), x["end"].alias("end"), x["part"].alias("part")))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -149,13 +158,26 @@ def sentence_spans(text: Column) -> Column:
     The lengths of the parts between boundaries add up to the spans. A span keeps its leading white space and loses the trailing
     one; parts of white space only have no number.
     """
-    def spans(parts: Column) -> Column:
-        starts = sums_before(F.transform(parts, lambda p: F.length(p)))
-        found = F.zip_with(parts, starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(rtrim_ws(p))).alias("end")))
-        filled = F.filter(found, lambda x: x["end"] > x["start"])
-        return F.transform(filled, lambda x, i: F.struct(i.alias("sent_id"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(let(parts_of(text), numbered_spans), lambda x: F.struct(x["sent_id"].alias("sent_id"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def sentence_windows(text: Column, size: int = 1) -> Column:
+    """array<struct<sent_id, start, end, n_sents, text>>: each sentence with its neighbours up to `size` away.
+
+    Windows are put together from the parts, so that a long text is not searched for each; U+0001 reads as U+FFFD there."""
+    def cut_out(parts: Column, k: Column, w: Column) -> Column:
+        first, last = F.get(w, F.lit(0)), F.element_at(w, -1)
+        whole = rtrim_ws(F.array_join(F.slice(parts, first["part"] + 1, last["part"] - first["part"] + 1), ""))
+        return F.struct(k.alias("sent_id"), first["start"].alias("start"), last["end"].alias("end"), F.size(w).alias("n_sents"), whole.alias("text"))
+
+    def near(index: Column, k: Column) -> Column:
+        lo = F.greatest(F.lit(0), k - size)
+        return F.slice(index, lo + 1, F.least(F.size(index), k + size + 1) - lo)
+
+    def windows(parts: Column) -> Column:
+        return let(numbered_spans(parts), lambda index: F.transform(index, lambda s: let(near(index, s["sent_id"]), lambda w: cut_out(parts, s["sent_id"], w))))
 
-    return _let(_parts(text), spans)
+    return let(parts_of(text), windows)
 
 
 def sentence_index(rows: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..backends import Backend, ask, prompt, settled
 from ..functions.jsonx import json_slice
+from .chunking import let
 
 WINDOW, METHOD_PRIOR, CONTEXT_QUALITY = 1, 0.70, 0.90
 REPLY = "struct<person:string,trait_probs:map<string,double>,evidence:array<struct<span:array<int>,text:string,hedges:array<string>,neg:boolean>>,rationale:string>"
@@ -26,14 +27,16 @@ def window_bounds(sents: Column, sent_id: Column, size: int = WINDOW) -> Column:
 
 def person_windows(people: DataFrame, chunks: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(windows, errors): a window for each person of a chunk and distinct sentence, cut out beside the chunk's text; sentences beyond the last become errors."""
-    def window(center: Column) -> Column:
-        w = window_bounds(F.col("sent_index"), center, size)
-        start, end = F.array_min(F.transform(w, lambda s: s["start"])), F.array_max(F.transform(w, lambda s: s["end"]))
+    def cut_out(center: Column, w: Column) -> Column:
+        start, end = F.get(w, F.lit(0))["start"], F.try_element_at(w, F.lit(-1))["end"]
         return F.struct(
             center.alias("sent_id_center"), F.transform(w, lambda s: s["sent_id"]).alias("sent_ids"), start.alias("start"), end.alias("end"),
             F.substring(F.col("text"), start + 1, end - start).alias("text"), ((center <= F.size("sent_index")) & (F.size(w) > 0)).alias("there"),
         )
 
+    def window(center: Column) -> Column:
+        return let(window_bounds(F.col("sent_index"), center, size), lambda w: cut_out(center, w))
+
     centers = F.array_sort(F.array_distinct(F.transform("mentions", lambda m: m["sent_id"])))
     rows = people.select("chunk_id", "canonical_id", "display_name", "local_id", centers.alias("centers")).join(chunks.select("chunk_id", "text", "sent_index"), "chunk_id")
     rows = rows.select("chunk_id", "canonical_id", "display_name", "local_id", F.explode(F.transform("centers", window)).alias("w"))

@@ -60,17 +60,8 @@ def sentence_index(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
     """Each sentence with its neighbours, cut out where the text is."""
-    docs = chunking.with_sentences(table(spark, d, "documents").select("doc_id", "text"))
-
-    def window(s: Column) -> Column:
-        w = traits.window_bounds(F.col("sent_index"), s["sent_id"])
-        b, e = F.array_min(F.transform(w, lambda x: x["start"])), F.array_max(F.transform(w, lambda x: x["end"]))
-        return F.struct(
-            s["sent_id"].cast("long").alias("sent_id"), b.cast("long").alias("b"), e.cast("long").alias("e"), F.size(w).cast("long").alias("n_sents"),
-            F.md5(F.substring(F.col("text"), b + 1, e - b)).alias("window_md5"),
-        )
-
-    return docs.select("doc_id", F.explode(F.transform("sent_index", window)).alias("x")).select("doc_id", "x.*")
+    out = table(spark, d, "documents").select("doc_id", F.explode(chunking.sentence_windows(F.col("text"))).alias("x"))
+    return out.select("doc_id", *[F.col(f"x.{c}").cast("long").alias(n) for c, n in (("sent_id", "sent_id"), ("start", "b"), ("end", "e"), ("n_sents", "n_sents"))], F.md5("x.text").alias("window_md5"))
 
 
 def _hits(text: Column, word: str) -> Column:
@@ -89,8 +80,12 @@ def person_windows(spark: SparkSession, d: str) -> DataFrame:
     """Every "th" of a text mentions the person of the text's language."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text", F.concat(F.lit("p"), "lang").alias("who"))
     chunks = chunking.with_sentences(docs)
-    sent = lambda at: F.size(F.filter("sent_index", lambda s: s["start"] <= at)) - 1
-    mentions = F.transform(_hits(F.col("text"), "th"), lambda at: F.struct(at.alias("start"), (at + 2).alias("end"), sent(at).alias("sent_id")))
+    sent = lambda index, at: F.size(F.filter(index, lambda s: s["start"] <= at)) - 1
+    # The index is bound first: as a column it could be computed anew for each hit.
+    mentions = chunking.let(
+        F.col("sent_index"),
+        lambda index: F.transform(_hits(F.col("text"), "th"), lambda at: F.struct(at.alias("start"), (at + 2).alias("end"), sent(index, at).alias("sent_id"))),
+    )
     named = chunks.withColumn("m", mentions).where(F.size("m") > 0)
     entities = named.select("chunk_id", F.lit("e0").alias("id"), F.lit("Person").alias("type"), F.col("who").alias("name"), F.col("m").alias("mentions"))
     coref = named.select(F.concat("chunk_id", F.lit(":e0")).alias("mid"), F.col("who").alias("canonical_id"))
